@@ -61,7 +61,8 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
 
     tokens = docs.select("doc_id", words("text").alias("w"))
     lists = [_hashes(x) for x in sizes] or [none]
-    hashed = tokens.select("doc_id", F.explode(F.concat(*lists) if len(lists) > 1 else lists[0]).alias("h"))
+    # explode_outer, since explode would have the optimiser filter by the array's size first and compute it twice, word by word
+    hashed = tokens.select("doc_id", F.explode_outer(F.concat(*lists) if len(lists) > 1 else lists[0]).alias("h"))
     hits = hashed.join(_sized(sketches, BROADCAST_ROWS), "h").groupBy("doc_id", "item_id", "least_hits", "h").count()
     candidates = hits.groupBy("doc_id", "item_id", "least_hits").agg(F.count("*").alias("hits")).where("hits >= least_hits").select("doc_id", "item_id")
     candidates = staged(candidates, "candidates")
