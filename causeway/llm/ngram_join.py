@@ -1,12 +1,11 @@
 """Exact n-gram Jaccard self-join as a blocked sparse product of the document by n-gram incidence.
 
 1. Documents with equal shingle sets form one class (a map-side combined minimum), so copies cost nothing later.
-2. Shingles are ordered: the rare ones by hash, then the frequent ones by count. Two sets with Jaccard t share one of
-   the first n - ceil(t n) + 1 shingles of each, in any order that all documents agree on; this order keeps frequent
-   passages out of those prefixes. The counts come from a mergeable frequent-items summary over all documents; an error
-   in them changes only speed.
-3. Classes that share a prefix shingle are joined by star edges (one for each row, never all pairs) into candidate
-   clusters, and only these are read again with their texts.
+2. Shingles are ordered by exact document frequency, rare first. Two sets with Jaccard t share one of the first
+   n - ceil(t n) + 1 shingles of each. All incidences are dealt out once by shingle, packed; back come only those of
+   shingles that several classes have, and of these only the ones inside a prefix go on.
+3. Classes of similar size that share a prefix shingle are joined by star edges (one for each row, never all pairs)
+   into candidate clusters, and only these are read again with their texts.
 4. Each cluster's rows of the incidence matrix are cut into blocks of bounded size, in bands of set sizes whose width is
    the threshold: blocks more than one band apart can't hold a link. Each pair of blocks is one task: a product of the
    two incidence blocks, chunk by chunk of columns, accumulates the overlaps; pairs below the size bound
@@ -23,7 +22,7 @@ from hashlib import blake2b
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.components import components
@@ -32,14 +31,21 @@ from causeway.runtime import ship, staged
 
 #: Classes and shingles of one block, and columns of one step of the product.
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS = 1024, 1 << 20, 4096
-#: Entries of the frequent-items summary for each task, and overall.
-TASK_SUMMARY, SUMMARY = 1 << 16, 1 << 17
+#: Shingles that a task packs at a time, and those of one range of values.
+PACK, RANGE = 1 << 21, 1 << 21
+#: Class representatives up to which they are broadcast (16 bytes each); beyond, the join with the texts is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def _digest(s: np.ndarray) -> bytes:
     return blake2b(s.tobytes(), digest_size=16).digest()
 
 
+def _node(s: np.ndarray) -> int:
+    """A class's number in the search for candidates; equal numbers of different sets only widen a cluster."""
+    return int.from_bytes(_digest(s)[:8], "little", signed=True)
+
+
 def _features(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in blocks(batches):
@@ -50,68 +56,93 @@ def _features(k: int):
     return run
 
 
-def _merged(h: np.ndarray, c: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts by hash; beyond `keep` entries all lose the next largest count, so each is low by total / keep at most."""
-    u, inverse = np.unique(h, return_inverse=True)
-    total = np.bincount(inverse, c, len(u)).astype(np.int64)
-    if len(u) > keep:
-        total -= np.partition(total, len(u) - keep - 1)[len(u) - keep - 1]
-        u, total = u[total > 0], total[total > 0]
-    return u, total
+def _packed(k: int, ranges: int):
+    """Rows (range, blob): the block's distinct (shingle, class) incidences of one range of shingle values, packed.
 
+    A shingle stands as the upper 48 bits of its hash. A blob holds the classes (node, n, extra), the sorted shingles as
+    differences, and for each its class. Equal sets in a block are packed once.
+    """
+    shift = np.uint64(48 - (ranges.bit_length() - 1))
+
+    def emit(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+        nodes = np.fromiter(sets, np.int64, len(sets))
+        n = np.array([len(s) for s in sets.values()], np.int64)
+        short = [np.unique(s >> np.uint64(16)) for s in sets.values()]
+        lost = n - [len(s) for s in short]
+        token, of = np.concatenate(short), np.repeat(np.arange(len(nodes)), n - lost)
+        order = np.argsort(token, kind="stable")
+        token, of = token[order], of[order]
+        which = (token >> shift).astype(np.int64)
+        first = np.flatnonzero(np.diff(which, prepend=-1))
+        blobs = []
+        for a, b in zip(first, [*first[1:], len(token)], strict=True):
+            own, local = np.unique(of[a:b], return_inverse=True)
+            step = np.diff(token[a:b], prepend=token[a])
+            width = 4 if int(step.max()) < 1 << 32 else 8
+            head = np.array([len(own), b - a, width, int(token[a])], np.uint64)
+            index = "<u2" if len(own) < 1 << 16 else "<u4"
+            blobs.append(b"".join(x.tobytes() for x in (head, nodes[own], n[own].astype("<u4"), lost[own].astype("<u4"), step.astype(f"<u{width}"), local.astype(index))))
+        return pa.RecordBatch.from_arrays([pa.array(which[first].astype(np.int64)), pa.array(blobs, pa.binary())], ["range", "blob"])
 
-def _summary(k: int, keep: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c, waiting, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+        waiting, size = {}, 0
         for _, data, offsets in blocks(batches):
-            waiting += (sets := shingle_sets(data, offsets, k))
-            size += sum(map(len, sets))
-            if size > 16 * keep:
-                h, c = _merged(np.concatenate([h, *waiting]), np.concatenate([c, np.ones(size, np.int64)]), keep)
-                waiting, size = [], 0
-        h, c = _merged(np.concatenate([h, *waiting]), np.concatenate([c, np.ones(size, np.int64)]), keep)
-        h, c = h[c >= least], c[c >= least]
-        for i in range(0, len(h), 1 << 15):
-            yield pa.RecordBatch.from_arrays([pa.array(h[i : i + (1 << 15)].view(np.int64)), pa.array(c[i : i + (1 << 15)])], ["token", "c"])
+            for s in shingle_sets(data, offsets, k):
+                if len(s):
+                    waiting[_node(s)] = s
+                    size += len(s)
+            if size > PACK:
+                yield emit(waiting)
+                waiting, size = {}, 0
+        if waiting:
+            yield emit(waiting)
 
     return run
 
 
-def frequent_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of at most SUMMARY frequent shingles over all documents (2 MB at most on the driver)."""
-    rows = docs.select("doc_id", "text").mapInArrow(_summary(k, TASK_SUMMARY, 4), "token long, c long")
-    top = rows.groupBy("token").agg(F.sum("c").alias("c")).where("c >= 32").orderBy(F.desc("c"), "token").limit(SUMMARY).toPandas()
-    h, c = top["token"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64)
-    order = np.argsort(h)
-    return h[order], c[order]
-
-
-def prefix_of(s: np.ndarray, heavy: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The first n - ceil(t n) + 1 of a sorted set: shingles outside `heavy` by hash, then the others by count and hash."""
-    size = len(s) - (percent * len(s) + 99) // 100 + 1
-    if not len(heavy) or not len(s):
-        return s[: size if len(s) else 0]
-    at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
-    frequent = heavy[at] == s
-    rare = s[~frequent][:size]
-    if len(rare) == size:
-        return rare
-    rest, c = s[frequent], counts[at[frequent]]
-    return np.concatenate([rare, rest[np.lexsort((rest, c))][: size - len(rare)]])
-
-
-def _prefixes(k: int, percent: int, heavy):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, c = heavy.value
-        for _, data, offsets in blocks(batches):
-            sets = [s for s in shingle_sets(data, offsets, k) if len(s)]
-            if not sets:
-                continue
-            firsts = [prefix_of(s, h, c, percent) for s in sets]
-            nodes = np.array([int.from_bytes(_digest(s)[:8], "little", signed=True) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts).view(np.int64)), pa.array(np.repeat(nodes, [len(x) for x in firsts]))], ["token", "node"])
-
-    return run
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, and node, n and lost of each."""
+    docs, size, width, first = (int(x) for x in np.frombuffer(blob, np.uint64, 4))
+    at = 32
+    out = []
+    for kind, many in (("<i8", docs), ("<u4", docs), ("<u4", docs), (f"<u{width}", size), ("<u2" if docs < 1 << 16 else "<u4", size)):
+        out.append(np.frombuffer(blob, kind, many, at))
+        at += out[-1].nbytes
+    nodes, n, lost, step, local = out
+    return np.cumsum(step, dtype=np.int64) + first, nodes[local], n[local], lost[local]
+
+
+def _shared(frame: pd.DataFrame) -> pd.DataFrame:
+    """Incidences of the shingles of one range that more than one class has, with the number of classes."""
+    token, node, n, lost = (np.concatenate(x) for x in zip(*map(_unpacked, frame["blob"]), strict=True))
+    order = np.lexsort((node, token))
+    token, node, n, lost = (x[order] for x in (token, node, n, lost))
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+    token, node, n, lost = (x[new] for x in (token, node, n, lost))
+    first = np.flatnonzero(np.diff(token, prepend=-1))
+    df = np.repeat(np.diff(first, append=len(token)), np.diff(first, append=len(token)))
+    some = df > 1
+    return pd.DataFrame({"token": token[some], "node": node[some], "n": n[some].astype(np.int64), "lost": lost[some].astype(np.int64), "df": df[some]})
+
+
+def _candidates(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
+    """Star edges (a, b) between classes of similar size that share a shingle of both their prefixes.
+
+    Of a set of n shingles the prefix has n - ceil(t n) + 1, rarest first by exact document frequency. Shingles that no
+    other class has come before all others, so only how many there are matters.
+    """
+    ranges = 1 << max(0, math.ceil(math.log2(max(1, total / RANGE))))
+    packed = docs.mapInArrow(_packed(k, ranges), "range long, blob binary")
+    shared = packed.groupBy("range").applyInPandas(_shared, "token long, node long, n long, lost long, df long")
+    own = Window.partitionBy("node")
+    placed = shared.withColumn("at", F.row_number().over(own.orderBy("df", "token"))).withColumn("many", F.count("*").over(own))
+    wanted = F.col("n") - F.expr(f"({percent} * n + 99) div 100") + 1 + 2 * F.col("lost")
+    prefix = placed.where(F.col("at") <= wanted - (F.col("n") - F.col("lost") - F.col("many")))
+    band = F.floor(F.log("n") / F.lit(math.log(100 / percent)) + 1e-9).cast("int")
+    keyed = staged(prefix.select("token", "node", F.explode(F.array(band, band + 1)).alias("band")), "prefixes")
+    centre = keyed.groupBy("token", "band").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").drop("b")
+    return keyed.join(centre, ["token", "band"]).where("node <> a").select("a", F.col("node").alias("b"))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -233,17 +264,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """
     ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    context = docs.sparkSession.sparkContext
     features = staged(docs.mapInArrow(_features(k), "doc_id long, n long, sig string, node long"), "features")
     classes = features.where("n > 0").groupBy("sig", "node", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
-    heavy = context.broadcast(frequent_shingles(docs, k))
-    prefixes = docs.mapInArrow(_prefixes(k, percent, heavy), "token long, node long")
-    shared = prefixes.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("token", "a")
-    stars = prefixes.join(shared, "token").where("node <> a").select("a", F.col("node").alias("b"))
+    total = int(classes.agg(F.sum("n")).first()[0] or 0)
+    stars = _candidates(docs, k, percent, total)
     clusters = components(stars)
     members = staged(classes.join(clusters.withColumnRenamed("component", "cluster"), "node").select("cluster", "sig", "rep", "n", "size"), "members")
     placed = _placed(members, percent)
-    texts = docs.join(members.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash"), "doc_id")
+    reps = members.select(F.col("rep").alias("doc_id")).distinct()
+    few = reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    texts = docs.join(reps.hint("broadcast" if few else "shuffle_hash"), "doc_id")
     rows = texts.join(placed.withColumnRenamed("rep", "doc_id"), "doc_id").drop("doc_id")
     key = ["pack", "ba", "bb", "sa", "sb"]
     found = staged(rows.groupBy(*key).applyInPandas(_solve(k, percent), "a string, b string, links long, whole boolean"), "links")
