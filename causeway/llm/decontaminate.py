@@ -57,7 +57,7 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     miss = F.floor(n * (100 - percent) / 100)
     upper = F.expr("CAST(shiftleft(1, CAST(floor(log2(size(h))) AS int) + 1) - 1 AS int)")
     m = F.least(n, F.floor(upper * F.lit(100 - percent) / 100) + 1).cast("int")
-    sketches = staged(sketched.select("item_id", (m - miss).alias("least_hits"), F.explode(F.slice("h", F.lit(1), m)).alias("h")), "sketches")
+    sketches = staged(sketched.select("item_id", (m - miss).alias("least_hits"), F.explode_outer(F.slice("h", F.lit(1), m)).alias("h")), "sketches")
 
     tokens = docs.select("doc_id", words("text").alias("w"))
     lists = [_hashes(x) for x in sizes] or [none]
@@ -72,5 +72,6 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int
     read = docs.select("doc_id", "text").join(pairs, F.col("doc_id").eqNullSafe(F.col("doc"))).drop("doc")
     found = read.join(_sized(exact, BROADCAST_ITEMS), F.col("item_id").eqNullSafe(F.col("item"))).withColumn("w", words("text"))
     shared = found.select("doc_id", "item_id", F.size("wanted").alias("n_item"), F.size(F.array_intersect("wanted", per_k(_shingles, F.array().cast("array<string>")))).alias("n_shared"))
-    kept = shared.where(100 * F.col("n_shared") >= percent * F.col("n_item"))
-    return kept.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+    # filtered after the aggregate: a filter below it would be pushed under the projection of the words and split them for each shingle
+    best = shared.groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+    return best.where(100 * F.col("n_shared") >= percent * F.col("n_item"))
