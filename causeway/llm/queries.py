@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join, vocab
+from causeway.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join, quality, secret_scan, token_count, token_records, toxicity, vocab
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,16 +22,41 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = toxicity.grade(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", _held_out(), "severity", "p_toxic", "grade", "toxic")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.rank(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", _held_out(), "score", "predicted")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.fit(docs))
     return found.select("doc_id", _held_out(), "lang_pred", "score", "bits_per_byte")
 
 
+def op7_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_records.write_records(_table(spark, sf_dir, "documents"), vocab.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), vocab.path("byte_bpe_50k.json"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -43,8 +68,13 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_secret_scan": op2_secret_scan,
+        "op3_toxicity": op3_toxicity,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_quality": op5_quality,
         "op6_language_id": op6_language_id,
+        "op7_token_records": op7_token_records,
+        "op8_token_counts": op8_token_counts,
         "op9_decontamination": op9_decontamination,
         "op10_ngram_join": op10_ngram_join,
     }
