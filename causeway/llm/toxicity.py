@@ -28,7 +28,7 @@ SAMPLE_ROWS, SAMPLE_LONGEST = 4_000, 16_384
 #: A word is marked with at least these log odds and in at least so many toxic training documents.
 LEAST_ODDS, LEAST_DOCS = 2.5, 3
 GRADE_ENDS = (1, 3)
-L1, STEPS, RATE = 2e-4, 400, 0.5
+L1, STEPS, RATE = 5e-4, 400, 0.2
 THRESHOLD = 0.5
 
 
@@ -79,26 +79,24 @@ def fit_texts(texts: list[bytes], toxic: np.ndarray) -> Ordinal:
     w, extra = np.zeros(len(used)), 0.0
     share = np.array([(grade > j).mean() for j in range(top)])
     theta = np.log((1 - share) / share)
-    above = grade[:, None] > np.arange(top)[None, :]
+    rows = np.arange(len(texts))
+    edge = np.zeros((len(texts), 1))
+    seen_w, seen_e, seen_t = np.full(len(used), 1e-8), 1e-8, np.full(top, 1e-8)  # squared gradients so far, for the steps' lengths
     for _ in range(STEPS):
         x = np.bincount(d, w[column], len(texts)) + extra * log_hits
-        # each threshold is a yes/no question with the same x; questions about grades already passed don't count
-        open_ = np.concatenate([np.ones((len(texts), 1), bool), above[:, :-1]], 1)
-        p = 1 / (1 + np.exp(np.clip(theta[None, :] - x[:, None], -40, 40)))
-        cell = np.diff(np.concatenate([np.zeros((len(texts), 1)), 1 - p, np.ones((len(texts), 1))], 1), axis=1)
-        own = np.maximum(cell[np.arange(len(texts)), grade], 1e-9)
-        slope = p * (1 - p)
-        full = np.concatenate([np.zeros((len(texts), 1)), slope, np.zeros((len(texts), 1))], 1)
-        low, high = full[np.arange(len(texts)), grade], full[np.arange(len(texts)), grade + 1]
-        g = (high - low) / own  # of the negative log likelihood, by x
-        w = w - RATE * len(texts) / n1 * np.bincount(column, g[d], len(used)) / len(texts)
-        w = np.sign(w) * np.maximum(np.abs(w) - RATE * L1 * len(texts) / n1, 0)
-        extra -= RATE * float((g * log_hits).mean())
-        by_theta = np.zeros(top)
-        for j in range(top):
-            by_theta[j] = (np.where(grade == j, -slope[:, j] / own, 0) + np.where(grade == j + 1, slope[:, j] / own, 0)).mean()
-        theta = np.maximum.accumulate(theta - RATE * by_theta + np.arange(top) * 0) + np.arange(top) * 1e-6
-        del open_
+        below = 1 / (1 + np.exp(-np.clip(theta[None, :] - x[:, None], -40, 40)))
+        slope = below * (1 - below)
+        own = np.maximum(np.diff(np.concatenate([edge, below, edge + 1], 1), axis=1)[rows, grade], 1e-9)
+        steep = np.concatenate([edge, slope, edge], 1)
+        by_x = (steep[rows, grade + 1] - steep[rows, grade]) / own / len(texts)
+        by_w, by_extra = np.bincount(column, by_x[d], len(used)), float(by_x @ log_hits)
+        by_theta = np.array([((grade == j + 1) * slope[:, j] / own - (grade == j) * slope[:, j] / own).mean() for j in range(top)])
+        seen_w, seen_e, seen_t = seen_w + by_w**2, seen_e + by_extra**2, seen_t + by_theta**2
+        rate = RATE / np.sqrt(seen_w)
+        w = w - rate * by_w
+        w = np.sign(w) * np.maximum(np.abs(w) - rate * L1, 0)
+        extra -= RATE / np.sqrt(seen_e) * by_extra
+        theta = np.maximum.accumulate(theta - RATE / np.sqrt(seen_t) * by_theta + 1e-9 * np.arange(top))
     weights = np.zeros(size)
     weights[used] = w
     return Ordinal(weights, theta, marked, extra)
