@@ -18,8 +18,8 @@ from causeway.plans.dsl import Condition, Term
 
 def _known(pairs: DataFrame, anchors: DataFrame, events: DataFrame) -> DataFrame:
     """Pairs with the anchor's and the event's columns."""
-    own = anchors.select("anchor_id", F.col("event_type").alias("a_type"), F.unix_micros("ts").alias("a_at"))
-    return pairs.join(own, "anchor_id").join(events.withColumn("at", F.unix_micros("ts")), "event_id")
+    own = anchors.select("anchor_id", F.col("event_type").alias("a_type"), F.unix_micros(F.col("ts").cast("timestamp")).alias("a_at"))
+    return pairs.join(own, "anchor_id").join(events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))), "event_id")
 
 
 def _props(pairs: DataFrame, props) -> DataFrame:
@@ -56,8 +56,8 @@ def peer_pairs(anchors: DataFrame, events: DataFrame, edges: DataFrame, event_ty
 
     With a window both sides are cut into buckets of its width and only neighbouring buckets are joined.
     """
-    free = relations.parentless(events, edges).where(F.col("event_type") == event_type).select("event_id", F.col("domain").alias("e_domain"), F.unix_micros("ts").alias("e_at"))
-    own = anchors.select("anchor_id", "event_type", "domain", F.unix_micros("ts").alias("o_at"))
+    free = relations.parentless(events, edges).where(F.col("event_type") == event_type).select("event_id", F.col("domain").alias("e_domain"), F.unix_micros(F.col("ts").cast("timestamp")).alias("e_at"))
+    own = anchors.select("anchor_id", "event_type", "domain", F.unix_micros(F.col("ts").cast("timestamp")).alias("o_at"))
     rest = (F.col("event_type") != event_type) | (F.col("domain") == F.col("e_domain"))
     if window:
         bucket = lambda c: F.floor(F.col(c) / window)

@@ -52,7 +52,7 @@ def fold(events: DataFrame, rules: list[Rule], watches: list[Watch] = (), compos
     if not of:
         raise ValueError("no rules")
     cluster = F.coalesce(*[F.when(F.col("event_type") == t, F.lit(i)) for t, i in of.items()])
-    rows = events.select(F.concat_ws("/", cluster.cast("string"), F.col(key).cast("string") if key else F.lit("")).alias("grp"), cluster.alias("cluster"), F.col("event_id").cast("string"), "event_type", "domain", F.unix_micros("ts").alias("ts"), "seq", *props).where("cluster is not null")
+    rows = events.select(F.concat_ws("/", cluster.cast("string"), F.col(key).cast("string") if key else F.lit("")).alias("grp"), cluster.alias("cluster"), F.col("event_id").cast("string"), "event_type", "domain", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "seq", *props).where("cluster is not null")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         state = Fold(parts[int(frame["cluster"].iloc[0])], list(watches), list(compositions))

@@ -33,17 +33,17 @@ def compose(matches: DataFrame, spec: Composition, order: str, partition: str |
     rows = matches.where(required)
     keys = [partition] if partition else []
     running = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    recent = Window.partitionBy(*keys).orderBy(F.unix_micros("ts")).rangeBetween(-(spec.window or 0), Window.currentRow) if spec.window is not None else running
+    recent = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-(spec.window or 0), Window.currentRow) if spec.window is not None else running
     fires = F.lit(True)
     names = []
     for i, ((t, d), least) in enumerate(spec.required.items()):
         own = (F.col("derived_type") == t) & (F.col("derived_domain") == d)
-        rows = rows.withColumn(f"n_{i}", F.sum(F.when(own, 1).otherwise(0)).over(recent)).withColumn(f"p_{i}", F.last(F.when(own, F.col("derived_id")), True).over(running)).withColumn(f"t_{i}", F.last(F.when(own, F.unix_micros("ts")), True).over(running))
+        rows = rows.withColumn(f"n_{i}", F.sum(F.when(own, 1).otherwise(0)).over(recent)).withColumn(f"p_{i}", F.last(F.when(own, F.col("derived_id")), True).over(running)).withColumn(f"t_{i}", F.last(F.when(own, F.unix_micros(F.col("ts").cast("timestamp"))), True).over(running))
         fires = fires & (F.col(f"n_{i}") >= max(1, least))
         names.append(i)
     if spec.window is not None:
         times = [F.col(f"t_{i}") for i in names]
         span = (F.greatest(*times) - F.least(*times)) if len(times) > 1 else F.lit(0)
         oldest = F.least(*times) if len(times) > 1 else times[0]
-        fires = fires & (span <= spec.window) & (oldest >= F.unix_micros("ts") - spec.window)
+        fires = fires & (span <= spec.window) & (oldest >= F.unix_micros(F.col("ts").cast("timestamp")) - spec.window)
     return rows.where(fires)

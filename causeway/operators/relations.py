@@ -115,5 +115,5 @@ def derivation_levels(ids: DataFrame, edges: DataFrame, most: int = 100) -> Data
 
 def windowed_peer_counts(events: DataFrame, before: int, after: int) -> DataFrame:
     """Other events of the same type and domain within [ts - before, ts + after] (micros, inclusive), by a range frame."""
-    at = Window.partitionBy("event_type", "domain").orderBy(F.unix_micros("ts")).rangeBetween(-before, after)
+    at = Window.partitionBy("event_type", "domain").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-before, after)
     return events.select("event_id", (F.count("*").over(at) - 1).alias("n_matched"))

@@ -31,7 +31,7 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_id():
     """Order key and line number repeat; with part, supplier and ship date they name a line."""
-    return F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_micros("l_shipdate"))
+    return F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_micros(F.col("l_shipdate").cast("timestamp")))
 
 
 def add_event(events: DataFrame, new: DataFrame) -> DataFrame:

@@ -34,5 +34,5 @@ def derive_stream(events: DataFrame, rules: list[Rule], key: str, watches: list[
         state.update((pickle.dumps(fold),))
         yield pd.DataFrame(made, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    rows = events.select(F.col(key).cast("string").alias("grp"), F.col("event_id").cast("string"), "event_type", "domain", F.unix_micros("ts").alias("at"), "seq")
+    rows = events.select(F.col(key).cast("string").alias("grp"), F.col("event_id").cast("string"), "event_type", "domain", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq")
     return rows.groupBy("grp").applyInPandasWithState(run, OUT, "fold binary", "append", "NoTimeout")
