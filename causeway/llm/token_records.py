@@ -20,19 +20,27 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.textbatch import blocks
 from causeway.runtime import shared_folder, ship
 
-#: Text bytes of one file, ids that end a document, distinct chunks a worker keeps encoded.
+#: Text bytes of one file, the id that ends a document, distinct chunks in one generation of a worker's cache.
 FILE_BYTES, END_ID, CACHE = 32 << 20, 2, 400_000
+#: Text bytes encoded at a time, chunks given to the library at a time.
+BLOCK, BATCH = 4 << 20, 10_000
+#: Up to this character lower-casing is one to one and nothing composes; marks that end a chunk as a piece of their own.
+LAST_PLAIN, MARKS = "\u012f", ".,;:!?"
+#: Line feed, tab and carriage return as spaces.
+BLANKS = np.arange(256, dtype=np.uint8)
+BLANKS[[9, 10, 13]] = 32
 NO_ID = -(1 << 63)
 _MASK = 0xA282EAD8
 
@@ -71,29 +79,91 @@ class ChunkEncoder:
     """The library's ids of whole texts, for a vocabulary whose pre-tokeniser drops white space.
 
     Space, line feed, tab and carriage return separate pieces for certain, so a text is the row of its chunks between
-    them, and each distinct chunk goes through the library once.
+    them. The distinct chunks of a block are found by a dictionary encoding. Where the vocabulary lower-cases and marks
+    the ends of words, a chunk of plain Latin letters is a single piece, its lower-cased letters, and marks behind it
+    are another. What is then left of distinct chunks goes through the library once for each generation of the cache,
+    single pieces without normaliser and in one row, in which the ends of words separate them again.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.tokenizer, self.pieces = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        for t in (self.tokenizer, self.pieces):
+            t.no_truncation()
+            t.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        suffix, bytes_of = self.tokenizer.model.end_of_word_suffix, str(self.tokenizer.pre_tokenizer)
+        self.words = bool(suffix) and "Lowercase" in str(self.tokenizer.normalizer) and "ByteLevel" in bytes_of
+        self.pieces.normalizer, self.pieces.pre_tokenizer = None, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({c for chunks in cut for c in chunks})
-        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[c] = np.array(e.ids, self.width).tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), self.width) for chunks in cut]
+        self.older: dict[str, bytes] = {}
+
+    def _whole(self, chunks: list[str]) -> None:
+        """Chunks of any kind, each as a text."""
+        for first in range(0, len(chunks), BATCH):
+            some = chunks[first : first + BATCH]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.known[c] = np.array(e.ids, self.width).tobytes()
+
+    def _single(self, chunks: list[str]) -> None:
+        """Chunks that are one piece and need no normalising."""
+        wide = self.width.itemsize
+        for first in range(0, len(chunks), BATCH):
+            some = chunks[first : first + BATCH]
+            (row,) = self.pieces.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(row.ids, self.width)
+            at = [0, *((np.flatnonzero(self.ends[ids]) + 1) * wide).tolist()]
+            flat = ids.tobytes()
+            self.known.update(zip(some, [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
+
+    def _missing(self, chunks: Iterable[str]) -> list[str]:
+        """Those that neither generation of the cache has; what only the older one has moves to the younger."""
+        known, older, out = self.known, self.older, []
+        for c in chunks:
+            if c not in known:
+                if (x := older.get(c)) is None:
+                    out.append(c)
+                else:
+                    known[c] = x
+        return out
+
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks."""
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, single, whole, split = self.known, set(), set(), []
+        for c in self._missing(chunks):
+            core = c.rstrip(MARKS) if self.words else ""
+            if core.isalpha() and max(core) <= LAST_PLAIN:
+                low = core.lower()
+                single.add(low)
+                if len(core) < len(c):
+                    whole.add(c[len(core) :])
+                if low != c:
+                    split.append((c, low, c[len(core) :]))
+            else:
+                whole.add(c)
+        self._single(self._missing(single))
+        self._whole(self._missing(whole))
+        for c, low, tail in split:
+            known[c] = known[low] + known[tail] if tail else known[low]
+        return [known[c] for c in chunks]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, given as UTF-8 bytes and n + 1 offsets, all in a row, and the n + 1 offsets of each text's ids."""
+        texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(BLANKS[data])])
+        cut = pc.split_pattern(texts, " ")
+        chunks = cut.values.dictionary_encode()
+        found = pa.array(self.chunk_ids(chunks.dictionary.to_pylist()), pa.large_binary())
+        _, ends, ids = found.take(chunks.indices).buffers()
+        ends = np.frombuffer(ends, np.int64)[: len(chunks) + 1]
+        return np.frombuffer(ids or b"", self.width, ends[-1] // self.width.itemsize), ends[cut.offsets.to_numpy()] // self.width.itemsize
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -108,10 +178,11 @@ def write(docs: DataFrame, folder: str, file: str, end_id: int = END_ID, file_by
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.setdefault(file, None) or ChunkEncoder(file)
         _encoders[file] = encoder
-        for part, _, _ in blocks(batches):
-            ids = encoder.encode([t or "" for t in part.column(1).to_pylist()])
-            end = np.array([end_id], encoder.width)
-            yield pa.RecordBatch.from_arrays([pa.array([frame(d, np.concatenate([x, end])) for d, x in zip(part.column(0).to_pylist(), ids, strict=True)], pa.binary())], ["frame"])
+        end = np.array([end_id], encoder.width)
+        for part, data, offsets in blocks(batches, most=BLOCK):
+            ids, at = encoder.encode(data, offsets)
+            framed = [frame(d, np.concatenate([ids[a:b], end])) for d, a, b in zip(part.column(0).to_pylist(), at[:-1], at[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["frame"])
 
     ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
 
