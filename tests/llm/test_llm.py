@@ -151,6 +151,17 @@ def test_token_counts_resynchronise():
     assert c.widened
 
 
+def test_chunk_encoder():
+    """Ids equal the library's for case, marks, digits, composed and special strings, also after the cache has turned over."""
+    odd = ["<|endoftext|>.", "<|ENDOFTEXT|>", "a<|endoftext|>B,", "İstanbul.", "ΣΑΣ.", "École.", "E\u0301cole.", "IT'S!", "don't,x;", "x'", "µ.", "ª.", "²!", "1.5.", "", " ", "\t\n", "A b.", "a..!?b.", "ß.", "A'LL."]
+    encoder = token_records.ChunkEncoder(vocab.path("word_bpe_49k.json"))
+    for texts in (odd, [" ".join(odd)], odd[::-1]):
+        data = [t.encode() for t in texts]
+        ids, at = encoder.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        encoder.known, encoder.older = {}, encoder.known
+
+
 def test_token_records(frame, small):
     from tokenizers import Tokenizer
 
