@@ -24,6 +24,10 @@ NOT_BLANK[[32, *range(9, 14)]] = False
 #: Letters and digits of ASCII and every byte of a longer character.
 WORDLIKE = np.zeros(256, bool)
 WORDLIKE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Controls and the space, which are or may be taken for white space.
+_CONTROL = np.arange(256) < 33
+#: First and last bytes of the longer white space characters (U+0085, U+00A0, U+1680, U+2000 to U+205F, U+3000), and what stands second or last but one.
+_FIRST, _LAST, _SECOND, _BEFORE_LAST = (np.isin(np.arange(256), x) for x in ([0xC2, 0xE1, 0xE2, 0xE3], [*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF], [0x80, 0x81, 0x85, 0x9A, 0xA0], [0xC2, 0x9A, 0x80, 0x81]))
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,6 +126,41 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, inside: np.ndarr
     return [np.unique(h[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+def seams(data: np.ndarray) -> np.ndarray:
+    """Where a single space stands between two characters that aren't white space; a few of these may be left out.
+
+    A byte-level pre-tokeniser with the usual pattern begins a piece there, whatever stands before or after.
+    """
+    at = np.flatnonzero(data[1:-1] == 32) + 1
+    before, after = data[at - 1], data[at + 1]
+    blank = _CONTROL[before] | _CONTROL[after]
+    blank |= _LAST[before] & _BEFORE_LAST[data[np.maximum(at - 2, 0)]]
+    blank |= _FIRST[after] & _SECOND[data[np.minimum(at + 2, len(data) - 1)]]
+    return at[~blank]
+
+
+def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Documents cut at seams: for each document its first segment (n + 1 offsets), each segment's number, and the distinct ones."""
+    cut = np.sort(np.concatenate([seams(data), offsets]), kind="stable").astype(np.int64)
+    cut = cut[np.diff(cut, prepend=-1) > 0]
+    if len(cut) < 2:
+        return np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), []
+    held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer(cut), pa.py_buffer(np.ascontiguousarray(data))])
+    known = held.dictionary_encode()
+    return np.searchsorted(cut, offsets), known.indices.to_numpy().astype(np.int64), known.dictionary.to_pylist()
+
+
+def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray, step: int = 1 << 18) -> np.ndarray:
+    """The runs flat[first[i] : first[i] + size[i]] for each i of `which`, one behind the other; `step` of them at a time."""
+    out = [flat[:0]]
+    for a in range(0, len(which), step):
+        some = which[a : a + step]
+        n = size[some]
+        ends = np.cumsum(n)
+        out.append(flat[np.repeat(first[some] - ends + n, n) + np.arange(ends[-1])])
+    return np.concatenate(out)
+
+
 def per_document(values: np.ndarray, offsets: np.ndarray, dtype: type = np.float64) -> np.ndarray:
     """Sums of values over each document's bytes; 0 for an empty one."""
     out = np.zeros((len(offsets) - 1, *values.shape[1:]), dtype)

@@ -1,30 +1,35 @@
 """Token counts by overlap resynchronisation: huge documents are encoded in overlapping chunks and spliced.
 
-A document of more than CHUNK characters is cut into chunks that overlap. Neighbours are spliced at a boundary that both
+A document of more than CHUNK bytes is cut into chunks that overlap. Neighbours are spliced at a boundary that both
 encodings have in the overlap and that is proven stable: a space between two characters that aren't white space. There
 the pre-tokeniser begins a new piece whatever stands before or after, so a token that starts there in one chunk starts
 there in the whole text, and the tokens on either side depend on nothing beyond it. If the overlap holds no such common
 boundary, it is widened, in the end to the whole rest of the document.
+
+Chunks and shorter documents are encoded by the same boundaries: of the segments between them only distinct ones that
+the cache lacks go through the library, and what is kept of each are the lengths of its tokens.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 
-from causeway.llm.textbatch import blocks
+from causeway.llm.textbatch import blocks, gathered, seams, segments
 from causeway.runtime import ship
 
-CHUNK, OVERLAP = 1 << 15, 1 << 8
-STABLE = regex.compile(r"(?<=\S) (?=\S)")
+#: Bytes of a chunk and of the first overlap tried; text bytes of one block; distinct segments in one generation of a worker's cache.
+CHUNK, OVERLAP, BLOCK, CACHE = 1 << 15, 1 << 8, 4 << 20, 200_000
+#: Segments given to the library at a time.
+BATCH = 10_000
 
 
 class Counter:
-    """Counts for one vocabulary file of the tokenizers library whose pre-tokeniser puts a space at the start of a piece."""
+    """Counts for a plain byte-level vocabulary file of the tokenizers library, whose pieces begin at a space."""
 
     def __init__(self, file: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         from tokenizers import Tokenizer
@@ -32,50 +37,102 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(file, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre = spec["pre_tokenizer"]
+        if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
+            raise ValueError(f"{file}: not a plain byte-level vocabulary")
+        if any(" " in t["content"] for t in spec["added_tokens"]):
+            raise ValueError(f"{file}: added tokens with spaces")
+        special = {t["id"]: len(t["content"].encode()) for t in spec["added_tokens"]}
+        vocabulary = self.tokenizer.get_vocab()
+        self.size = np.zeros(max(vocabulary.values()) + 1, "<u2")
+        for token, i in vocabulary.items():
+            self.size[i] = special.get(i, len(token))  # one letter stands for each byte
         self.chunk, self.overlap, self.widened = chunk, overlap, 0
-
-    def starts(self, text: str) -> np.ndarray:
-        """Where each token of the text starts, in characters."""
-        offsets = self.tokenizer.encode(text, add_special_tokens=False).offsets
-        return np.fromiter((a for a, _ in offsets), np.int64, len(offsets))
-
-    def _cuts(self, text: str, a: int, b: int) -> np.ndarray:
-        """Stable boundaries of text in [a, b)."""
-        return np.fromiter((m.start() for m in STABLE.finditer(text, max(0, a - 1), min(len(text), b + 1)) if a <= m.start() < b), np.int64)
-
-    def long(self, text: str) -> int:
-        """Tokens of a text of more than one chunk."""
-        total, at, end = 0, 0, min(self.chunk, len(text))  # the text up to `at` is counted; `at` is 0 or a stable boundary
-        now = self.starts(text[at:end]) + at
-        while end < len(text):
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def _sizes(self, distinct: list[bytes]) -> list[bytes]:
+        """The lengths of the tokens of each segment, two bytes each."""
+        if len(self.known) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for x in distinct:
+            if x not in known:
+                if (y := older.get(x)) is None:
+                    new.append(x)
+                else:
+                    known[x] = y
+        for first in range(0, len(new), BATCH):
+            some = new[first : first + BATCH]
+            row = [x for x in some if x[0] == 32 and x[1:2].isalnum() and x[-1:].isalnum()]  # between any two of them a new piece begins
+            alone = list(set(some).difference(row))
+            made = self.tokenizer.encode_batch_fast([b"".join(row).decode(), *(x.decode() for x in alone)], add_special_tokens=False)
+            sizes = self.size[made[0].ids]
+            ends = np.searchsorted(np.cumsum(sizes, dtype=np.int64), np.cumsum([len(x) for x in row])) + 1 if row else np.zeros(0, np.int64)
+            flat, ends = sizes.tobytes(), [0, *(2 * ends).tolist()]
+            known.update(zip(row, [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], strict=True))
+            for x, e in zip(alone, made[1:], strict=True):
+                known[x] = self.size[e.ids].tobytes()
+        return [known[x] for x in distinct]
+
+    def starts(self, data: np.ndarray) -> np.ndarray:
+        """Where each token of a text starts, in bytes."""
+        _, which, distinct = segments(data, np.array([0, len(data)]))
+        runs = self._sizes(distinct)
+        n = np.fromiter(map(len, runs), np.int64, len(runs)) // 2
+        sizes = gathered(np.frombuffer(b"".join(runs), "<u2"), np.cumsum(n) - n, n, which).astype(np.int64)
+        return np.cumsum(sizes) - sizes
+
+    def long(self, data: np.ndarray) -> int:
+        """Tokens of a text of more than one chunk, given as its bytes."""
+        stable, size = seams(data), len(data)
+
+        def at_character(x: int, low: int) -> int:
+            while low < x < size and data[x] & 0xC0 == 0x80:
+                x -= 1
+            return x
+
+        total, at, end = 0, 0, at_character(min(self.chunk, size), 0)  # the text up to `at` is counted; `at` is 0 or a stable boundary
+        now = self.starts(data[at:end]) + at
+        while end < size:
             wide = self.overlap
             while True:
-                begin = max(at, end - wide)
-                then = min(len(text), begin + max(self.chunk, 2 * wide))
-                following = self.starts(text[begin:then]) + begin
-                stable = self._cuts(text, begin + 1, end - 1)
-                common = stable[np.isin(stable, now) & np.isin(stable, following)]
+                begin = at_character(max(at, end - wide), at)
+                then = at_character(min(size, begin + max(self.chunk, 2 * wide)), end)
+                following = self.starts(data[begin:then]) + begin
+                common = stable[np.searchsorted(stable, begin + 1) : np.searchsorted(stable, end - 1)]
+                common = common[np.isin(common, now) & np.isin(common, following)]
                 if len(common):
                     cut = int(common[len(common) // 2])
-                    total += int(np.searchsorted(np.sort(now), cut))
+                    total += int(np.searchsorted(now, cut))
                     now, at, end = following[np.searchsorted(following, cut) :], cut, then
                     break
+                self.widened += 1
                 if begin == at:  # nothing to splice at: encode what isn't counted yet as one longer chunk
-                    end = min(len(text), at + 2 * (end - at))
-                    now = self.starts(text[at:end]) + at
-                    self.widened += 1
-                    if end == len(text):
+                    end = at_character(min(size, at + 2 * (end - at)), end)
+                    now = self.starts(data[at:end]) + at
+                    if end == size:
                         break
                     wide = self.overlap
-                    continue
-                wide *= 4
-                self.widened += 1
+                else:
+                    wide *= 4
         return total + len(now)
 
-    def count(self, texts: list[str]) -> list[int]:
-        short = [t for t in texts if len(t) <= self.chunk]
-        counts = iter([len(e) for e in self.tokenizer.encode_batch_fast(short, add_special_tokens=False)])
-        return [next(counts) if len(t) <= self.chunk else self.long(t) for t in texts]
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Tokens of each document of a block."""
+        sizes = np.diff(offsets)
+        huge = sizes > self.chunk
+        out = np.zeros(len(sizes), np.int64)
+        if not huge.all():
+            kept = data[np.repeat(~huge, sizes)] if huge.any() else data
+            begin, which, distinct = segments(kept, np.concatenate([[0], np.cumsum(sizes[~huge])]))
+            n = np.fromiter(map(len, self._sizes(distinct)), np.int64, len(distinct)) // 2
+            out[~huge] = np.diff(np.concatenate([[0], np.cumsum(n[which])])[begin])
+        for i in np.flatnonzero(huge):
+            out[i] = self.long(data[offsets[i] : offsets[i + 1]])
+        return out
 
 
 _counters: dict[tuple, Counter] = {}
@@ -96,8 +153,8 @@ def count_tokens(docs: DataFrame, file: str, limit: int = 1024, chunk: int = CHU
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counter = _counters.setdefault((file, chunk, overlap), None) or Counter(file, chunk, overlap)
         _counters[file, chunk, overlap] = counter
-        for part, _, offsets in blocks(batches):
-            n = np.array(counter.count([t or "" for t in part.column(1).to_pylist()]), np.int64)
+        for part, data, offsets in blocks(batches, most=BLOCK):
+            n = counter.count(data, offsets)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
