@@ -5,12 +5,15 @@ is the encoding of w[:i - len(t)]. So a word's encoding is known from the last t
 token at i is the one vocabulary item that ends there and that stays apart from the last token at its own start when the
 two are merged by the rules. Distinct words of a block are put into a trie; a depth-first walk computes the last token
 at each node once, whatever number of words goes through it. Words are visited in sorted order, which is that walk:
-the states of the path to the current node are a stack, cut back to the prefix shared with the next word.
+the states of the path to the current node are a stack, cut back to the prefix shared with the next word. Texts are cut
+at single spaces between other characters, where a piece always begins, and the words walked are those of the distinct
+segments that the cache lacks.
 """
 
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
@@ -19,15 +22,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from causeway.llm.textbatch import blocks
+from causeway.llm.textbatch import blocks, buffers, gathered, segments
 from causeway.runtime import ship
 
 #: The pre-tokenisation pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Between two characters that aren't white space a single space always begins a new piece.
-SEAM = regex.compile(r"(?<=\S)(?= \S)")
-#: Entries kept from block to block in one worker.
-CACHE = 400_000
+#: Text bytes of one block, and distinct segments in one generation of a worker's cache.
+BLOCK, CACHE = 4 << 20, 200_000
 NEVER = 1 << 60
 
 
@@ -65,14 +66,20 @@ class Bpe:
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self._at_special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self._piece = regex.compile(PATTERN)
-        self._lengths: dict[int, list[int]] = {}
-        by_end: dict[int, set[int]] = {}
+        self._lengths: dict[bytes, list[int]] = {}
+        by_end: dict[bytes, set[int]] = {}
         for b in self.id:
-            by_end.setdefault(b[-2] << 8 | b[-1] if len(b) > 1 else -1, set()).add(len(b))
+            if len(b) > 2:
+                by_end.setdefault(b[-3:], set()).add(len(b))
         self._lengths = {k: sorted(v, reverse=True) for k, v in by_end.items()}
         self._apart: dict[tuple[int, int], bool] = {}
         self._whole: dict[int, bool] = {}
-        self._cache: dict[str, tuple[int, ...]] = {}
+        self._cache: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
+        held = [self.bytes.get(i, b"") for i in range(max(self.bytes) + 1)]
+        self._flat = np.frombuffer(b"".join(held), np.uint8)
+        self._size = np.array([len(x) for x in held], np.int64)
+        self._first = np.cumsum(self._size) - self._size
 
     def apart(self, a: int, b: int) -> bool:
         """Whether tokens a and b, each the encoding of its own bytes, stay as they are when their bytes stand side by side.
@@ -120,7 +127,7 @@ class Bpe:
         """Encodings of distinct words, by the depth-first walk of their trie."""
         out: dict[bytes, tuple[int, ...]] = {}
         last, begin, before = [-1], [0], b""  # of each prefix: its last token, and where that token begins
-        ids, lengths, rank_apart, apart, whole = self.id, self._lengths, self._apart, self.apart, self.whole
+        find, lengths, seen_apart, seen_whole = self.id.get, self._lengths.get, self._apart.get, self._whole.get
         for word in sorted(words):
             n = len(word)
             i = 0
@@ -131,18 +138,19 @@ class Bpe:
             del last[i + 1 :], begin[i + 1 :]
             while i < n:
                 i += 1
-                for size in lengths.get(word[i - 2] << 8 | word[i - 1], ()) if i > 1 else ():
-                    if size <= i:
-                        t = ids.get(word[i - size : i])
-                        if t is not None and whole(t):
-                            if size == i:
-                                break
-                            p = last[i - size]
-                            ok = rank_apart.get((p, t))
-                            if apart(p, t) if ok is None else ok:
-                                break
+                for size in (*lengths(word[i - 3 : i], ()), 2) if i > 2 else (2,):
+                    if size > i:
+                        continue
+                    t = find(word[i - size : i])
+                    if t is None or not ((ok := seen_whole(t)) or (ok is None and self.whole(t))):
+                        continue
+                    if size == i:
+                        break
+                    p = last[i - size]
+                    if (ok := seen_apart((p, t))) or (ok is None and self.apart(p, t)):
+                        break
                 else:
-                    t, size = ids[word[i - 1 : i]], 1
+                    t, size = self.id[word[i - 1 : i]], 1
                 last.append(t)
                 begin.append(i - size)
             back, i = [], n
@@ -161,23 +169,45 @@ class Bpe:
             out += [self.special[x]] if i % 2 else self._piece.findall(x)
         return out
 
+    def _learn(self, new: list[bytes]) -> None:
+        """Puts the ids of distinct segments into the cache."""
+        plain = [x for x in new if x[1:].isalpha() and (x[0] == 32 or x[:1].isalpha())]  # one piece of ASCII letters
+        mixed = {x: self._pieces(x.decode()) for x in set(new).difference(plain)}
+        made = self.encode_words({*plain, *(p.encode() for ps in mixed.values() for p in ps if isinstance(p, str))})
+        for x in plain:
+            self._cache[x] = array("I", made[x]).tobytes()
+        for x, ps in mixed.items():
+            self._cache[x] = array("I", [i for p in ps for i in (made[p.encode()] if isinstance(p, str) else (p,))]).tobytes()
+
+    def encode_block(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents of a block, and where each one's begin (n + 1 offsets); special tokens written in a text become their ids."""
+        begin, which, distinct = segments(data, offsets)
+        if len(self._cache) > CACHE:
+            self._cache, self._older = {}, self._cache
+        cache, older, new = self._cache, self._older, []
+        for x in distinct:
+            if x not in cache:
+                if (ids := older.get(x)) is None:
+                    new.append(x)
+                else:
+                    cache[x] = ids
+        self._learn(new)
+        runs = [cache[x] for x in distinct]
+        size = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
+        ids = gathered(np.frombuffer(b"".join(runs), np.uint32), np.cumsum(size) - size, size, which)
+        return ids, np.concatenate([[0], np.cumsum(size[which])])[begin]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each whole text; special tokens written in a text become their ids, as the library has it."""
-        cut = [SEAM.split(t) if t else [] for t in texts]
-        cache = self._cache
-        new = {r for runs in cut for r in runs if r not in cache}
-        if len(cache) + len(new) > CACHE:
-            cache.clear()
-            new = {r for runs in cut for r in runs}
-        pieces = {r: self._pieces(r) for r in new}
-        made = self.encode_words({p.encode() for ps in pieces.values() for p in ps if isinstance(p, str)})
-        for r, ps in pieces.items():
-            cache[r] = tuple(i for p in ps for i in (made[p.encode()] if isinstance(p, str) else (p,)))
-        return [np.fromiter((i for r in runs for i in cache[r]), np.uint32) for runs in cut]
+        """Ids of each whole text."""
+        ids, at = self.encode_block(*buffers(pa.array(texts, pa.large_string())))
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        return gathered(self._flat, self._first, self._size, ids).tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of ids, special ones included; bytes that aren't UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
 _loaded: dict[str, Bpe] = {}
@@ -193,21 +223,21 @@ def encode_decode(docs: DataFrame, file: str, with_ids: bool = False) -> DataFra
     """One row for each row of docs(doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256, and ids (array<int>) if with_ids.
 
     Null and empty texts have no tokens and decode to the empty text. Ids are hashed as little-endian unsigned 32-bit
-    integers. Whole texts are encoded, in blocks of about a megabyte; a worker keeps at most CACHE words from block to
-    block. Other columns are ignored; an empty table gives no rows.
+    integers. Whole texts are encoded, in blocks of about BLOCK bytes; a worker keeps two generations of CACHE segments
+    from block to block. Other columns are ignored; an empty table gives no rows.
     """
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(file)
-        for part, _, _ in blocks(batches):
-            texts = [t or "" for t in part.column(1).to_pylist()]
-            ids = bpe.encode(texts)
-            back = [bpe.decode(x) for x in ids]
-            columns = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]), pa.array([sha256(x.encode()).hexdigest() for x in back])]
+        for part, data, offsets in blocks(batches, most=BLOCK):
+            ids, at = bpe.encode_block(data, offsets)
+            spans = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            id_hashes = [sha256(ids[a:b].astype("<u4")).hexdigest() for a, b in spans]
+            text_hashes = [sha256(bpe.decode(ids[a:b]).encode()).hexdigest() for a, b in spans]
+            columns = [part.column(0), pa.array(np.diff(at)), pa.array(id_hashes), pa.array(text_hashes)]
             if with_ids:
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids).astype(np.int32))))
+                columns.append(pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))))
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     more = ", ids array<int>" if with_ids else ""

@@ -16,6 +16,8 @@ from causeway.llm import bpe, decontaminate, exact_dedup, language_id, ngram_joi
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, sig string, component_id long, count long"
 ODD = [None, "", " ", "x", "a  b \n c", "<|endoftext|> don'té 日本 12 3", "a" * 3000, "one two three four five six seven"]
 
+ODD_CHARS = [" ", " ", " ", "a", "b", "the", "é", "1", "'s", "'", ".", "\n", "\t", "\x1c", "\x1f", "\x00", "\x85", "\xa0", "\u1680", "\u2003", "\u2028", "\u205f", "\u3000", "\u200b", "à", "Å", "か", "日本", "\u00c9", "<|endoftext|>", "😀"]
+
 
 def docs_of(spark, texts, lang="en"):
     return spark.createDataFrame([(i, t, lang, "s", 0, 1, "q", 7, 3) for i, t in enumerate(texts)], SCHEMA)
@@ -147,10 +149,28 @@ def test_token_counts_resynchronise():
     rng = random.Random(4)
     c = token_count.Counter(vocab.path("byte_bpe_50k.json"), 120, 12)
     texts = ["a" * 500, "日本" * 300, "x  y " * 150, ""] + ["".join(rng.choice("ab  cd\n1é'") for _ in range(700)) for _ in range(30)]
-    assert c.count(texts) == [len(c.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    texts += ["".join(rng.choice(ODD_CHARS) for _ in range(300)) for _ in range(300)]
+    data = [t.encode() for t in texts]
+    want = [len(c.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    for _ in range(2):
+        got = c.count(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+        assert got.tolist() == want
+        c.known, c.older = {}, c.known
     assert c.widened
 
 
+def test_bpe_blocks_equal_library():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    library, b = Tokenizer.from_file(vocab.path("byte_bpe_50k.json")), bpe.Bpe(vocab.path("byte_bpe_50k.json"))
+    texts = ["".join(rng.choice(ODD_CHARS) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    for _ in range(2):
+        for t, ids in zip(texts, b.encode(texts), strict=True):
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids and b.decode(ids) == t
+        b._cache, b._older = {}, b._cache
+
+
 def test_chunk_encoder():
     """Ids equal the library's for case, marks, digits, composed and special strings, also after the cache has turned over."""
     odd = ["<|endoftext|>.", "<|ENDOFTEXT|>", "a<|endoftext|>B,", "İstanbul.", "ΣΑΣ.", "École.", "E\u0301cole.", "IT'S!", "don't,x;", "x'", "µ.", "ª.", "²!", "1.5.", "", " ", "\t\n", "A b.", "a..!?b.", "ß.", "A'LL."]
