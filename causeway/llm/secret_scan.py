@@ -1,6 +1,7 @@
 """Secret scans with structural confirmation: what is decoded and parsed, not only matched, is reported as a structure.
 
-Base kinds are regular expressions. The structural kinds come from candidates in base64, URL-safe base64 or hex:
+Base kinds are regular expressions. The structural kinds come from candidates in base64, URL-safe base64 or hex, on one line or
+wrapped (lines of one length and a shorter last one), and a key inside a PEM block is reported beside the block:
 
 * ``der``: decodes to a key in DER: nested lengths that fill their parents exactly, and the fields of PKCS#1, PKCS#8,
   SEC1 or SubjectPublicKeyInfo in their places.
@@ -16,7 +17,7 @@ import base64
 import binascii
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import sha256
 
 import pyarrow as pa
@@ -35,10 +36,13 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}(?![A-Za-z0-9+/_=-])")
-#: Wrapped base64: lines of one length and a shorter last one are one candidate.
 LONG_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
+#: Wrapped base64 or hex: lines of one length and, if there is one, a shorter last line are one candidate.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++={0,2}(?![A-Za-z0-9+/_=-]))+")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+(=*)")
+LEAST_WIDTH = 16
 JWT = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----(.*?)-----END \1-----", re.DOTALL)
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*(?:PRIVATE|PUBLIC) KEY)-----((?:(?!-----BEGIN).)*?)-----END \1-----", re.DOTALL)
 PEM_HEADER = re.compile(r"^[A-Za-z0-9-]+:[^\n]*$", re.MULTILINE)
 #: Object identifiers of key algorithms, in DER.
 OIDS = {
@@ -50,6 +54,7 @@ OIDS = {
 }
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 SSH_MAGIC = b"openssh-key-v1\x00"
+SSH_FIELDS = dict(zip(SSH_NAMES, (3, 5, 2, 3, 3, 3), strict=True))
 
 
 def decode64(text: str) -> bytes | None:
@@ -162,6 +167,85 @@ def structure(data: bytes | None) -> str | None:
     return "openssh" if openssh(data) else "sshwire" if ssh_wire(data) else None
 
 
+def unhex(text: str) -> bytes | None:
+    return bytes.fromhex(text) if len(text) % 2 == 0 else None
+
+
+def key_ends(peek: Callable[[int, int], bytes], size: int) -> list[int]:
+    """Where a key that starts at byte 0 of so many could end, the usual end of its kind first; peek(at, n) gives n bytes or fewer."""
+    head = peek(0, 6)
+    if head[:1] == b"\x30" and len(head) == 6:
+        n = head[1] & 0x7F if head[1] & 0x80 else 0
+        return [2 + n + int.from_bytes(head[2 : 2 + n], "big") if n else 2 + head[1]] if n <= 4 else []
+
+    def walk(at: int, most: int) -> list[int]:
+        out = []
+        while len(out) < most and at + 4 <= size and (at := at + 4 + int.from_bytes(peek(at, 4), "big")) <= size:
+            out.append(at)
+        return out
+
+    if head == SSH_MAGIC[:6] and peek(0, len(SSH_MAGIC)) == SSH_MAGIC:
+        opening = walk(len(SSH_MAGIC), 3)
+        if len(opening) < 3 or opening[2] + 4 > size:
+            return []
+        n = int.from_bytes(peek(opening[2], 4), "big") + 1
+        return ends[-1:] if len(ends := walk(opening[2] + 4, n)) == n else []
+    if head[:3] == bytes(3) and head[3:4] and peek(4, head[3]) in SSH_FIELDS:
+        ends = walk(0, size)
+        usual = SSH_FIELDS[peek(4, head[3])]
+        return [*(ends[usual - 1 : usual] or [0]), *ends[:0:-1]]
+    return []
+
+
+def wrapped_keys(lines: list[tuple[int, int, str, bool]]) -> list[tuple[int, int, str]]:
+    """Spans of keys in consecutive lines (start, end, digits, padded): each from a line's start to a line's end, over two lines at least."""
+    out, first = [], 0
+    while first < len(lines):
+        width, last = len(lines[first][2]), first
+        while last < len(lines) and len(lines[last][2]) == width and not lines[last][3]:
+            last += 1
+        # the shorter line is a part of the candidate only if the key ends there
+        full, upto = last - first, last + (last < len(lines) and len(lines[last][2]) < width)
+        text = "".join(x[2] for x in lines[first:upto])
+        i = 0
+        while width >= LEAST_WIDTH and i < full:
+            many, kind = _wrapped_key(text, i * width, width, full * width)
+            if kind:
+                out.append((lines[first + i][0], lines[first + i + many - 1][1], kind))
+            i += max(1, many)
+        first = max(last, first + 1)
+    return out
+
+
+def _wrapped_key(text: str, start: int, width: int, full: int) -> tuple[int, str | None]:
+    """Number of lines and kind of the key that starts there; `full` digits are in lines of the whole width."""
+    digits = len(text) - start
+    for decode, bits in ((decode64, 6), (unhex, 4)):
+        unit = 4 if bits == 6 else 2
+
+        def peek(at: int, n: int, decode=decode, bits=bits, unit=unit) -> bytes:
+            a, b = at * 8 // (bits * unit) * unit, -(-(at + n) * 8 // (bits * unit)) * unit
+            skip = at - a * bits // 8
+            try:
+                return (decode(text[start + a : start + min(b, digits)]) or b"")[skip : skip + n]
+            except ValueError:
+                return b""
+
+        for n, end in enumerate(key_ends(peek, digits * bits // 8)):
+            size = -(-end * 8 // bits)
+            # an unusual number of fields must fill the candidate
+            whole = size % width == 0 and start + size <= full if n == 0 else start + size == full
+            if size <= width or not (whole or size == digits):
+                continue
+            try:
+                kind = structure(decode(text[start : start + size]))
+            except ValueError:
+                kind = None
+            if kind:
+                return -(-size // width), kind
+    return 0, None
+
+
 def signed_token(header: str, payload: str) -> bool:
     """Whether both parts decode to JSON objects and the header names an algorithm."""
     try:
@@ -198,6 +282,8 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
     for m in LONG_HEX.finditer(text):
         if kind := structure(bytes.fromhex(m[0])):
             out.append((*m.span(), kind))
+    for m in WRAPPED.finditer(text):
+        out += wrapped_keys([(x.start(), x.end(), x[0].rstrip("="), bool(x[1])) for x in LINE.finditer(text, *m.span())])
     return out
 
 

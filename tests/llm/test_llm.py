@@ -3,7 +3,7 @@
 import json
 import random
 import re
-from base64 import urlsafe_b64encode
+from base64 import b64encode, urlsafe_b64encode
 from collections import defaultdict
 from hashlib import sha256
 from zlib import crc32
@@ -213,6 +213,49 @@ def test_secrets():
     assert not secret_scan.signed_token(header, "!!!!") and secret_scan.spans("") == []
 
 
+def der(tag, *parts):
+    data = b"".join(parts)
+    n = len(data).to_bytes((len(data).bit_length() + 7) // 8, "big")
+    return bytes([tag]) + (bytes([len(data)]) if len(data) < 128 else bytes([0x80 | len(n)]) + n) + data
+
+
+def wire(*fields):
+    return b"".join(len(f).to_bytes(4, "big") + f for f in fields)
+
+
+def key_samples():
+    rng = random.Random(9)
+    n = lambda size: b"\x01" + rng.randbytes(size - 1)
+    pkcs1 = der(0x30, der(0x02, b"\0"), *[der(0x02, n(size)) for size in (256, 3, 256, 128, 128, 128, 128, 128)])
+    pkcs8 = der(0x30, der(0x02, b"\0"), der(0x30, bytes.fromhex("06092a864886f70d0101010500")), der(0x04, pkcs1))
+    rsa, dss = wire(b"ssh-rsa", n(3), n(257)), wire(b"ssh-dss", n(129), n(21), n(128), n(128))
+    return {"der": [pkcs1, pkcs8], "sshwire": [rsa, dss], "openssh": [b"openssh-key-v1\0" + wire(b"none", b"none", b"") + b"\0\0\0\1" + wire(rsa, n(700))]}
+
+
+@pytest.mark.parametrize("width, end", [(64, "\n"), (76, "\r\n"), (70, "\n  ")])
+def test_wrapped_keys(width, end):
+    for kind, keys in key_samples().items():
+        for key in keys:
+            for data in (b64encode(key).decode(), urlsafe_b64encode(key).decode().rstrip("="), key.hex()):
+                body = end.join(data[i : i + width] for i in range(0, len(data), width))
+                for before, after in (("", ""), ("é key: ", " then"), ("internationalisation\n", "\nThe end"), ('"', '"')):
+                    assert [s for s in secret_scan.structural_spans(before + body + after)] == [(len(before), len(before + body), kind)]
+                damaged = body[:-3] + end + "A" * width
+                assert not secret_scan.structural_spans(damaged)
+    dss = wire(b"ssh-dss", *[b"\1" * n for n in (129, 21, 128, 94)])  # 399 bytes: ends with a full line of 76
+    data = b64encode(dss).decode()
+    body = "\n".join(data[i : i + 76] for i in range(0, len(data), 76))
+    assert len(data) % 76 == 0 and secret_scan.structural_spans(body + "\n" + body) == [(0, len(body), "sshwire"), (len(body) + 1, 2 * len(body) + 1, "sshwire")]
+
+
+def test_pem_after_unclosed_begin():
+    data = b64encode(key_samples()["der"][1]).decode()
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    block = "\n".join([begin, *[data[i : i + 64] for i in range(0, len(data), 64)], end])
+    start = len(begin) + 6
+    assert (start, start + len(block), "pem") in secret_scan.spans(f"{begin} lost\n{block}\n")
+
+
 def test_language_id_code_lengths():
     rng = random.Random(3)
     samples = {x: ["".join(rng.choice(a) for _ in range(300)).encode() for _ in range(5)] for x, a in (("aa", "abcab "), ("bb", "xyzxa "))}
