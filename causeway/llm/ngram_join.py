@@ -56,6 +56,18 @@ def _features(k: int):
     return run
 
 
+def _signed(k: int):
+    """Rows (sig, text) of texts with shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in blocks(batches):
+            sets = shingle_sets(data, offsets, k)
+            some = [i for i, s in enumerate(sets) if len(s)]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(sets[i]).hex() for i in some], pa.string()), part.column(part.schema.get_field_index("text")).take(pa.array(some, pa.int64()))], ["sig", "text"])
+
+    return run
+
+
 def _packed(k: int, ranges: int):
     """Rows (range, blob): the block's distinct (shingle, class) incidences of one range of shingle values, packed.
 
@@ -271,10 +283,16 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     clusters = components(stars)
     members = staged(classes.join(clusters.withColumnRenamed("component", "cluster"), "node").select("cluster", "sig", "rep", "n", "size"), "members")
     placed = _placed(members, percent)
-    reps = members.select(F.col("rep").alias("doc_id")).distinct()
+    reps = members.where("rep IS NOT NULL").select(F.col("rep").alias("doc_id")).distinct()
     few = reps.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     texts = docs.join(reps.hint("broadcast" if few else "shuffle_hash"), "doc_id")
     rows = texts.join(placed.withColumnRenamed("rep", "doc_id"), "doc_id").drop("doc_id")
+    if members.where("rep IS NULL").first() is not None:
+        # classes without any doc_id: their texts are found by signature, one for each class
+        nameless = docs.where("doc_id IS NULL").mapInArrow(_signed(k), "sig string, text string")
+        wanted = members.where("rep IS NULL").select("sig")
+        one = nameless.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("text").alias("text"))
+        rows = rows.unionByName(one.join(placed.where("rep IS NULL").drop("rep"), "sig"))
     key = ["pack", "ba", "bb", "sa", "sb"]
     found = staged(rows.groupBy(*key).applyInPandas(_solve(k, percent), "a string, b string, links long, whole boolean"), "links")
     across = components(found.where("not whole"))

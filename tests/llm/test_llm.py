@@ -77,6 +77,24 @@ def test_ngram_join(spark, frame, small, k, percent, rows, monkeypatch):
     assert got == brute_components(small, k, percent)
 
 
+@pytest.mark.parametrize("rows", [1024, 7])
+def test_ngram_join_null_ids(spark, small, rows, monkeypatch):
+    """A text that only rows without a doc_id have still links the others."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", rows)
+    say = lambda a, b: " ".join(f"z{i}" for i in range(a, b))
+    texts = [*small, say(0, 60), say(3, 63), say(6, 66), say(200, 260), say(202, 262)]
+    nameless = {*range(0, len(small), 3), *(len(small) + i for i in (1, 3, 4))}
+    named = [None if i in nameless else i for i in range(len(texts))]
+    frame = spark.createDataFrame([(named[i], t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    brute = brute_components(texts, 5, 80)
+    members = defaultdict(list)
+    for i, _, root, _ in brute:
+        members[root].append(named[i])
+    want = [(named[i], n, min((x for x in members[root] if x is not None), default=None), links) for i, n, root, links in brute]
+    order = lambda rows: sorted(rows, key=lambda r: [(x is None, x or 0) for x in r])
+    assert order(tuple(r) for r in ngram_join.jaccard_components(frame, 5, 80).collect()) == order(want)
+
+
 def test_empty_tables(spark, frame):
     none = frame.limit(0)
     items = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
