@@ -87,6 +87,11 @@ def add_edge_validation(s, d):
     return model.dangling_edges(edges.where("to_id like 'o:%'"), known).select("from_id", "to_id")
 
 
+def add_edge_validation_all(s, d):
+    """All edges against all events; add_edge_validation knows only some orders, as its SQL does."""
+    return model.dangling_edges(trade_edges(s, d), model.trade_events(s, d)).select("from_id", "to_id")
+
+
 def children(s, d):
     return relations.children(_orders(s, d), trade_edges(s, d))
 
@@ -335,7 +340,7 @@ def composition_min_occurrences(s, d):
     return patterns.compose(_matches(s, d), Composition("c", need, "x", "y"), "fired_seq").select("derived_id")
 
 
-NAMES = """get_by_type get_by_id get_by_ids add_edge_validation children parents ancestors contributors_closure siblings cousins_d1 cousins_d2
+NAMES = """get_by_type get_by_id get_by_ids add_edge_validation add_edge_validation_all children parents ancestors contributors_closure siblings cousins_d1 cousins_d2
 peers_count derivation_levels type_and_domain_terms has_child_exact has_descendants has_siblings_window has_cousin has_peers_window
 has_peers_cross_type property_filter and_or_precedence grouping eval_contributors window_units derive_tumbling derive_edges derive_stateless
 derive_two_level derive_windowed_greedy derive_cross_type_pair derive_tumbling_fold watch_fold motif_stats hot_motifs revisions_type revisions_in
@@ -370,6 +375,9 @@ def oracle_sql() -> dict[str, str]:
         "get_by_id": f"SELECT event_id, event_type, domain FROM ({EVENTS}) WHERE event_id = 7",
         "get_by_ids": f"SELECT position, event_id, event_type FROM (VALUES (CAST(0 AS BIGINT), 5), (1, 3), (2, 5)) w(position, id) JOIN ({EVENTS}) ON event_id = id",
         "add_edge_validation": f"SELECT DISTINCT from_id, to_id FROM ({EDGES}) WHERE to_id LIKE 'o:%' AND NOT (to_id LIKE 'o:%1' AND to_id IN (SELECT 'o:' || o_orderkey FROM orders))",
+        "add_edge_validation_all": f"""WITH v AS (SELECT {LINE} AS id FROM lineitem UNION ALL SELECT 'o:' || o_orderkey FROM orders UNION ALL SELECT 'c:' || c_custkey FROM customer
+                UNION ALL SELECT 'n:' || n_nationkey FROM nation UNION ALL SELECT 'r:' || r_regionkey FROM region)
+            SELECT DISTINCT from_id, to_id FROM ({EDGES}) e WHERE NOT EXISTS (SELECT 1 FROM v WHERE id = e.from_id) OR NOT EXISTS (SELECT 1 FROM v WHERE id = e.to_id)""",
         "children": f"SELECT 'o:' || l_orderkey AS anchor_id, {LINE} AS event_id FROM lineitem",
         "parents": f"SELECT {LINE} AS anchor_id, 'o:' || l_orderkey AS event_id FROM lineitem",
         "ancestors": f"""WITH a AS (SELECT DISTINCT {LINE} AS anchor_id, 'o:' || o_orderkey AS o, 'c:' || c_custkey AS c, 'n:' || c_nationkey AS n, 'r:' || n_regionkey AS r

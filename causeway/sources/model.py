@@ -29,6 +29,14 @@ def trade_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.union(o).union(c).union(n).withColumn("relation", F.lit("trigger"))
 
 
+def trade_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id of every line item, order, customer, nation and region."""
+    out = table(spark, sf_dir, "lineitem").select(line_id().alias("event_id"))
+    for prefix, name, key in (("o:", "orders", "o_orderkey"), ("c:", "customer", "c_custkey"), ("n:", "nation", "n_nationkey"), ("r:", "region", "r_regionkey")):
+        out = out.union(table(spark, sf_dir, name).select(F.concat(F.lit(prefix), key)))
+    return out
+
+
 def line_id():
     """Order key and line number repeat; with part, supplier and ship date they name a line."""
     return F.concat_ws(":", F.lit("l"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.unix_micros(F.col("l_shipdate").cast("timestamp")))

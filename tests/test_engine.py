@@ -191,3 +191,25 @@ def test_stream_equals_batch(spark, tmp_path):
     got = sorted(r["anchor_id"] for r in spark.table("derived_stream").collect())
     want = sorted(r["anchor_id"] for r in derive.fold(spark.createDataFrame(rows, schema), rules, key="domain").collect())
     assert got == want and want
+
+
+def test_validation_of_all_edges(spark, tmp_path):
+    import duckdb
+
+    from causeway import queries
+
+    day = datetime(2026, 1, 1).date()
+    tables = {
+        "lineitem": ([(1, 1, 1, 1, day), (3, 1, 1, 1, day), (9, 1, 1, 1, day)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate date"),
+        "orders": ([(1, 1), (3, 8)], "o_orderkey long, o_custkey long"),
+        "customer": ([(1, 1), (2, 7)], "c_custkey long, c_nationkey int"),
+        "nation": ([(1, 1), (2, 6)], "n_nationkey int, n_regionkey int"),
+        "region": ([(1,)], "r_regionkey int"),
+    }
+    db = duckdb.connect()
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = {(r["from_id"][:4], r["to_id"]) for r in queries.queries()["add_edge_validation_all"](spark, str(tmp_path)).collect()}
+    assert got == {("l:9:", "o:9"), ("o:3", "c:8"), ("c:2", "n:7"), ("n:2", "r:6")}
+    assert {(a[:4], b) for a, b in db.execute(queries.oracle_sql()["add_edge_validation_all"]).fetchall()} == got
