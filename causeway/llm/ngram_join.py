@@ -47,11 +47,14 @@ def _node(s: np.ndarray) -> int:
 
 
 def _features(k: int):
+    """doc_id, number of shingles, signature and node of each document, and text_sha256 if its frame has that column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in blocks(batches):
             sets = shingle_sets(data, offsets, k)
             sigs = [_digest(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.hex() for x in sigs]), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in sigs], pa.int64())], ["doc_id", "n", "sig", "node"])
+            more = [x for x in part.schema.names if x == "text_sha256"]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x.hex() for x in sigs]), pa.array([int.from_bytes(x[:8], "little", signed=True) for x in sigs], pa.int64()), *[part.column(part.schema.get_field_index(x)) for x in more]], ["doc_id", "n", "sig", "node", *more])
 
     return run
 
@@ -274,10 +277,44 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     component. Repeated rows count as documents of their own; a null doc_id never names a component unless all its
     members have none. Other columns are ignored. An empty table gives no rows.
     """
+    features, full = _solved(docs.select("doc_id", "text"), k, percent)
+    least = full.groupBy("root").agg(F.min("rep").alias("component_id"))
+    known = full.join(least, "root").select("sig", "component_id", (F.coalesce("near", F.lit(0)) + F.col("size") - 1).alias("n_links"))
+    out = features.join(known, "sig", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """Rows (doc_id, text_sha256) of docs(doc_id, text) to drop so that one text of each component stays.
+
+    Of a component the row with the smallest doc_id stays, one without a doc_id only if no member has one; of equal or
+    missing ids the text with the smallest SHA-256. Documents are told apart by doc_id and text together, so texts that
+    share a doc_id, or have none, are judged each for itself. Rows equal in both are one. Texts without shingles stay.
+    """
+    features, full = _solved(docs.select("doc_id", "text", text_digest("text").alias("text_sha256")), k, percent)
+    least = full.groupBy("root").agg(F.min("first").alias("stays"))
+    known = full.join(least, "root").select("sig", "stays")
+    return features.join(known, "sig").where(_row() != F.col("stays")).select("doc_id", "text_sha256")
+
+
+def text_digest(text: str):
+    """SHA-256 of a text; null counts as empty."""
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
+
+
+def _row():
+    """Orders rows by doc_id, missing ones last, and then by the text's digest; null in no part, so that rows compare by value."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("text_sha256").alias("text_sha256"))
+
+
+def _solved(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Features of each row, and of each class its root (a signature of its component) and links; with text_sha256, also its first row."""
     ship(docs.sparkSession)
+    digests = "text_sha256" in docs.columns
+    features = staged(docs.mapInArrow(_features(k), "doc_id long, n long, sig string, node long" + ", text_sha256 binary" * digests), "features")
     docs = docs.select("doc_id", "text")
-    features = staged(docs.mapInArrow(_features(k), "doc_id long, n long, sig string, node long"), "features")
-    classes = features.where("n > 0").groupBy("sig", "node", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"))
+    first = [F.min(_row()).alias("first")] if digests else []
+    classes = features.where("n > 0").groupBy("sig", "node", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), *first)
     total = int(classes.agg(F.sum("n")).first()[0] or 0)
     stars = _candidates(docs, k, percent, total)
     clusters = components(stars)
@@ -299,7 +336,4 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     of = found.where("whole").select(F.col("a").alias("sig"), F.col("b").alias("root")).unionByName(across.select(F.col("node").alias("sig"), F.col("component").alias("root")))
     counts = found.groupBy(F.col("a").alias("sig")).agg(F.sum("links").alias("near"))
     full = classes.join(of, "sig", "left").join(counts, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    least = full.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = full.join(least, "root").select("sig", "component_id", (F.coalesce("near", F.lit(0)) + F.col("size") - 1).alias("n_links"))
-    out = features.join(known, "sig", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return features, full

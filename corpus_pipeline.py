@@ -1,25 +1,30 @@
 """From raw documents to token ids: five operators in a row, each stage written as Parquet and read again.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. doc_id names a document.
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. doc_id names a document; where it is missing or
+repeated, doc_id and text together do, and an exact copy's largest doc_id stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from causeway.llm import bpe, decontaminate, exact_dedup, language_id, ngram_join, vocab
 from causeway.runtime import staged
 
-#: Ids up to which a list of documents to drop is broadcast (8 bytes each); beyond, the join is shuffled.
+#: Ids up to which a list of documents to drop is broadcast (40 bytes each); beyond, the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is not among dropped(doc_id)."""
-    dropped = staged(dropped.select("doc_id").distinct(), "dropped")
+    """Rows of docs that are not among dropped(text_sha256), or dropped(text_sha256, doc_id), where a null doc_id equals another."""
+    dropped = staged(dropped.distinct(), "dropped")
     if dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         dropped = dropped.hint("broadcast")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    same = ngram_join.text_digest("text") == dropped["text_sha256"]
+    if "doc_id" in dropped.columns:
+        same &= docs["doc_id"].eqNullSafe(dropped["doc_id"])
+    return docs.join(dropped, same, "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +38,18 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the smallest doc_id stays."""
-    found = ngram_join.jaccard_components(docs, k=5, percent=80)
-    return _without(docs, found.where("component_id <> doc_id"))
+    """Of each component of documents linked by a Jaccard similarity of 0.8 of five-word shingles, the smallest doc_id stays.
+
+    A document without a doc_id stays only if its component has none; of equal or missing ids the smallest text digest stays.
+    """
+    return _without(docs, ngram_join.near_copies(docs, k=5, percent=80))
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that contain 0.8 or more of a benchmark item's five-word shingles."""
+    """Drops documents that contain 0.8 or more of a benchmark item's five-word shingles, each text for itself, whatever its doc_id."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contained_items(docs, items, k=5, percent=80))
+    texts = docs.select(ngram_join.text_digest("text").alias("doc_id"), "text")
+    return _without(docs, decontaminate.contained_items(texts, items, k=5, percent=80).select(F.col("doc_id").alias("text_sha256")))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -370,3 +370,19 @@ def test_pipeline_stages(spark, small, tmp_path):
     own = set(zip(*[item.lower().split()[j:] for j in range(5)], strict=False))
     clean = {i for i in firsts if 100 * len(own & set(zip(*[small[i].lower().split()[j:] for j in range(5)], strict=False))) < 80 * len(own)}
     assert kept == clean
+
+
+def test_pipeline_drops_by_row(spark, tmp_path):
+    """Null and repeated ids: near copies and leaks go, clean texts that share an id with one stay."""
+    import corpus_pipeline
+
+    say = lambda a, b: " ".join(f"q{i}" for i in range(a, b))
+    rows = [(None, say(0, 60)), (None, say(1, 61)), (5, say(2, 62)), (None, say(100, 160)), (None, say(101, 161)), (7, say(200, 260)), (7, say(201, 261)), (7, say(300, 360)), (2, say(301, 361)), (7, say(400, 460)), (8, say(500, 560)), (8, say(600, 660)), (None, say(700, 760)), (None, say(800, 860)), (None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, docs, "").collect()), key=str)
+    first = lambda *texts: min(texts, key=lambda t: sha256(t.encode()).digest())
+    near = [(5, say(2, 62)), (None, first(say(100, 160), say(101, 161))), (7, first(say(200, 260), say(201, 261))), (2, say(301, 361)), *rows[9:]]
+    assert kept == sorted(near, key=str)
+    spark.createDataFrame([(0, say(510, 540)), (1, say(710, 740))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    left = corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted((r for r in rows if r[1] not in (say(500, 560), say(700, 760))), key=str)
