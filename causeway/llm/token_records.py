@@ -18,29 +18,52 @@ before it) and crc32 of the ids; a reader that wants records in any order needs
 
 from __future__ import annotations
 
+import json
 import os
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from causeway.llm.textbatch import blocks
-from causeway.runtime import shared_folder, ship
+from causeway.llm.textbatch import blocks, gathered
+from causeway.runtime import lean, shared_folder, ship
 
-#: Text bytes of one file, the id that ends a document, distinct chunks in one generation of a worker's cache.
-FILE_BYTES, END_ID, CACHE = 32 << 20, 2, 400_000
-#: Text bytes encoded at a time, chunks given to the library at a time.
-BLOCK, BATCH = 4 << 20, 10_000
-#: Up to this character lower-casing is one to one and nothing composes; marks that end a chunk as a piece of their own.
-LAST_PLAIN, MARKS = "\u012f", ".,;:!?"
+#: Text bytes of one file, the id that ends a document, text bytes encoded at a time, pieces given to the library at a time.
+FILE_BYTES, END_ID, BLOCK, BATCH = 32 << 20, 2, 4 << 20, 10_000
 #: Line feed, tab and carriage return as spaces.
 BLANKS = np.arange(256, dtype=np.uint8)
 BLANKS[[9, 10, 13]] = 32
+#: What a byte is to the pre-tokeniser: space, letter, digit, other mark, or something that only the library should judge
+#: (controls, the apostrophe of contractions, the bracket of special tokens and word ends, longer characters).
+SPACE, LETTER, DIGIT, MARK, UNSURE = range(5)
+KIND = np.full(256, UNSURE, np.uint8)
+KIND[33:127] = MARK
+KIND[[*range(65, 91), *range(97, 123)]] = LETTER
+KIND[48:58], KIND[32] = DIGIT, SPACE
+KIND[[39, 60]] = UNSURE
+LOW = np.arange(256, dtype=np.uint8)
+LOW[65:91] += 32
+
+
+def _latin() -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Lead byte, which second bytes make a letter, and that letter's lower case: U+00C0 to U+012F, where it is one to one."""
+    out = []
+    for lead in (0xC3, 0xC4):
+        letters, small = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+        for second in range(0x80, 0xC0):
+            c = bytes([lead, second]).decode()
+            letters[second] = c.isalpha() and ord(c) < 0x130
+            if letters[second]:
+                small[second] = c.lower().encode()[1]
+        out.append((lead, letters, small))
+    return out
+
+
+LATIN = _latin()
 NO_ID = -(1 << 63)
 _MASK = 0xA282EAD8
 
@@ -75,14 +98,15 @@ def frames(content: bytes) -> Iterator[tuple[int, int | None, memoryview]]:
         at = end + 5
 
 
-class ChunkEncoder:
+class PieceEncoder:
     """The library's ids of whole texts, for a vocabulary whose pre-tokeniser drops white space.
 
-    Space, line feed, tab and carriage return separate pieces for certain, so a text is the row of its chunks between
-    them. The distinct chunks of a block are found by a dictionary encoding. Where the vocabulary lower-cases and marks
-    the ends of words, a chunk of plain Latin letters is a single piece, its lower-cased letters, and marks behind it
-    are another. What is then left of distinct chunks goes through the library once for each generation of the cache,
-    single pieces without normaliser and in one row, in which the ends of words separate them again.
+    Space, line feed, tab and carriage return separate pieces for certain, so a text is the row of its runs between them.
+    Where the vocabulary lower-cases and marks the ends of words, a run of printable ASCII and plain Latin letters is cut where the
+    pre-tokeniser cuts it for certain: between letters, digits and marks, and around each digit. The distinct pieces of a block are
+    found by a dictionary encoding and go through the library once: those of one kind in one row without normaliser, in
+    which the ends of words separate them again, and runs with anything else in them each as a text. Nothing is kept
+    from block to block, so memory is that of a block.
     """
 
     def __init__(self, file: str):
@@ -90,93 +114,107 @@ class ChunkEncoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.pieces = Tokenizer.from_file(file), Tokenizer.from_file(file)
-        for t in (self.tokenizer, self.pieces):
-            t.no_truncation()
-            t.no_padding()
+        self.tokenizer = Tokenizer.from_file(file)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.width = id_type(file)
+        self.usual = self.tokenizer.normalizer, self.tokenizer.pre_tokenizer
+        self.bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        suffix = self.tokenizer.model.end_of_word_suffix
+        self.cuts = bool(suffix) and "Lowercase" in str(self.usual[0]) and "ByteLevel" in str(self.usual[1])
         vocabulary = self.tokenizer.get_vocab()
-        self.width = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
-        suffix, bytes_of = self.tokenizer.model.end_of_word_suffix, str(self.tokenizer.pre_tokenizer)
-        self.words = bool(suffix) and "Lowercase" in str(self.tokenizer.normalizer) and "ByteLevel" in bytes_of
-        self.pieces.normalizer, self.pieces.pre_tokenizer = None, ByteLevel(add_prefix_space=False, use_regex=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _whole(self, chunks: list[str]) -> None:
-        """Chunks of any kind, each as a text."""
-        for first in range(0, len(chunks), BATCH):
-            some = chunks[first : first + BATCH]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, self.width).tobytes()
-
-    def _single(self, chunks: list[str]) -> None:
-        """Chunks that are one piece and need no normalising."""
-        wide = self.width.itemsize
-        for first in range(0, len(chunks), BATCH):
-            some = chunks[first : first + BATCH]
-            (row,) = self.pieces.encode_batch_fast([some], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(row.ids, self.width)
-            at = [0, *((np.flatnonzero(self.ends[ids]) + 1) * wide).tolist()]
-            flat = ids.tobytes()
-            self.known.update(zip(some, [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
-
-    def _missing(self, chunks: Iterable[str]) -> list[str]:
-        """Those that neither generation of the cache has; what only the older one has moves to the younger."""
-        known, older, out = self.known, self.older, []
-        for c in chunks:
-            if c not in known:
-                if (x := older.get(c)) is None:
-                    out.append(c)
-                else:
-                    known[c] = x
-        return out
-
-    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """The ids of distinct chunks."""
-        if len(self.known) > CACHE:
-            self.known, self.older = {}, self.known
-        known, single, whole, split = self.known, set(), set(), []
-        for c in self._missing(chunks):
-            core = c.rstrip(MARKS) if self.words else ""
-            if core.isalpha() and max(core) <= LAST_PLAIN:
-                low = core.lower()
-                single.add(low)
-                if len(core) < len(c):
-                    whole.add(c[len(core) :])
-                if low != c:
-                    split.append((c, low, c[len(core) :]))
-            else:
-                whole.add(c)
-        self._single(self._missing(single))
-        self._whole(self._missing(whole))
-        for c, low, tail in split:
-            known[c] = known[low] + known[tail] if tail else known[low]
-        return [known[c] for c in chunks]
+
+    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and how many each text has."""
+        found = [e.ids for a in range(0, len(texts), BATCH) for e in self.tokenizer.encode_batch_fast(texts[a : a + BATCH], add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], self.width), np.array([*map(len, found)], np.int64)
+
+    def _in_a_row(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for lower-case pieces that need neither normaliser nor pre-tokeniser."""
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = None, self.bytes
+        try:
+            rows = [e.ids for a in range(0, len(pieces), BATCH) for e in self.tokenizer.encode_batch_fast([pieces[a : a + BATCH]], is_pretokenized=True, add_special_tokens=False)]
+        finally:
+            self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.usual
+        ids = np.concatenate([np.zeros(0, self.width), *[np.array(r, self.width) for r in rows]])
+        sizes = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+        if len(sizes) != len(pieces):
+            raise ValueError("the vocabulary doesn't mark the end of every piece")
+        return ids, sizes
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all pieces, lower-cased where they are plain; where each begins; and which are plain."""
+        kind, low = KIND[data], LOW[data]
+        for lead, letters, small in LATIN:
+            at = np.flatnonzero(data[:-1] == lead)
+            at = at[letters[data[at + 1]]]
+            kind[at] = kind[at + 1] = LETTER
+            low[at + 1] = small[data[at + 1]]
+        full = kind != SPACE
+        edge = np.zeros(len(data) + 1, bool)
+        edge[offsets] = True
+        run = np.ones(len(data), bool)  # whether a run without spaces begins
+        run[1:] = (kind[:-1] == SPACE) | edge[1:-1]
+        run &= full
+        number = np.cumsum(run, dtype=np.int32) - 1
+        sure = np.ones(int(number[-1]) + 1 if len(data) else 0, bool)
+        sure[number[full & (kind == UNSURE)]] = False
+        plain = sure[number] if self.cuts and len(sure) else np.zeros(len(data), bool)
+        begins = run.copy()
+        begins[1:] |= plain[1:] & ((kind[1:] != kind[:-1]) | (kind[1:] == DIGIT))
+        begins &= full
+        return np.where(plain, low, data)[full], np.flatnonzero(begins), plain
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts, given as UTF-8 bytes and n + 1 offsets, all in a row, and the n + 1 offsets of each text's ids."""
-        texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(BLANKS[data])])
-        cut = pc.split_pattern(texts, " ")
-        chunks = cut.values.dictionary_encode()
-        found = pa.array(self.chunk_ids(chunks.dictionary.to_pylist()), pa.large_binary())
-        _, ends, ids = found.take(chunks.indices).buffers()
-        ends = np.frombuffer(ends, np.int64)[: len(chunks) + 1]
-        return np.frombuffer(ids or b"", self.width, ends[-1] // self.width.itemsize), ends[cut.offsets.to_numpy()] // self.width.itemsize
-
-
-_encoders: dict[str, ChunkEncoder] = {}
+        data = BLANKS[data]
+        kept, begins, plain = self._pieces(data, offsets)
+        if not len(begins):
+            return np.zeros(0, self.width), np.zeros(len(offsets), np.int64)
+        place = np.cumsum(data != 32, dtype=np.int64)[begins] - 1
+        held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(np.append(place, len(kept))), pa.py_buffer(kept)])
+        known = held.dictionary_encode()
+        which = known.indices.to_numpy().astype(np.int64)
+        alone = np.zeros(len(known.dictionary), bool)
+        alone[which[~plain[begins]]] = True  # equal bytes in a run of another kind: the library then judges both alike
+        distinct = known.dictionary.to_pylist()
+        texts, order = [], []
+        for chosen in (np.flatnonzero(alone), np.flatnonzero(~alone)):
+            order.append(chosen)
+            texts.append([distinct[i].decode() for i in chosen.tolist()])
+        (a, n_a), (b, n_b) = self._alone(texts[0]), self._in_a_row(texts[1])
+        size = np.empty(len(distinct), np.int64)
+        size[np.concatenate(order)] = sizes = np.concatenate([n_a, n_b])
+        first = np.empty(len(distinct), np.int64)
+        first[np.concatenate(order)] = np.cumsum(sizes) - sizes
+        ids = gathered(np.concatenate([a, b]), first, size, which)
+        return ids, np.concatenate([[0], np.cumsum(size[which])])[np.searchsorted(begins, offsets)]
+
+
+def id_type(file: str) -> np.dtype:
+    """The narrowest of 16 and 32 bits that holds every id of a vocabulary file."""
+    with open(file, encoding="utf-8") as f:
+        spec = json.load(f)
+    most = max([*spec["model"]["vocab"].values(), *[t["id"] for t in spec["added_tokens"]]])
+    return np.dtype("<u2" if most < 1 << 16 else "<u4")
+
+
+_encoders: dict[str, PieceEncoder] = {}
 
 
 def write(docs: DataFrame, folder: str, file: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
     """Encode docs(doc_id, text) and write the records in ascending order of doc_id (null first) over files of about file_bytes of text."""
     ship(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ordered = docs.select("doc_id", "text").repartitionByRange(int(total // file_bytes) + 1, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # the digest lets rows that repeat a doc_id be dealt over several files
+    key = [F.col("doc_id").asc_nulls_first(), F.col("digest").asc()]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    ordered = keyed.repartitionByRange(int(total // file_bytes) + 1, *key).sortWithinPartitions(*key, F.col("text").asc_nulls_first()).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(file, None) or ChunkEncoder(file)
+        encoder = _encoders.get(file) or PieceEncoder(file)
         _encoders[file] = encoder
         end = np.array([end_id], encoder.width)
         for part, data, offsets in blocks(batches, most=BLOCK):
@@ -184,7 +222,7 @@ def write(docs: DataFrame, folder: str, file: str, end_id: int = END_ID, file_by
             framed = [frame(d, np.concatenate([ids[a:b], end])) for d, a, b in zip(part.column(0).to_pylist(), at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(framed, pa.binary())], ["frame"])
 
-    ordered.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
+    ordered.mapInArrow(lean(run), "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
 
 
 def read(spark: SparkSession, folder: str, width: int) -> DataFrame:
@@ -203,18 +241,19 @@ def read(spark: SparkSession, folder: str, width: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["file", "offset", "length", "doc_id", "n_tokens", "before", "ids_crc32"])
 
     files = spark.read.format("binaryFile").load(folder).select("path", "content")
-    return files.mapInArrow(run, "file string, offset long, length long, doc_id long, n_tokens long, before long, ids_crc32 long")
+    return files.mapInArrow(lean(run), "file string, offset long, length long, doc_id long, n_tokens long, before long, ids_crc32 long")
 
 
 def write_records(docs: DataFrame, file: str, folder: str | None = None, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write docs as records and their index, and return the index: doc_id, start, n_tokens, ids_crc32, file, offset, length.
 
     n_tokens counts the end id too. A null text is an empty one: its record holds the end id only. Rows that repeat a
-    doc_id follow each other in the order of their texts. Other columns are ignored; an empty table gives no rows.
+    doc_id follow each other in the order of a hash of their texts and have a record each; rows without a doc_id come
+    first. Other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     folder = folder or shared_folder(spark, "records")
-    width = ChunkEncoder(file).width.itemsize
+    width = id_type(file).itemsize
     write(docs, f"{folder}/records", file, end_id, file_bytes)
     read(spark, f"{folder}/records", width).write.parquet(f"{folder}/parts")
     rows = spark.read.parquet(f"{folder}/parts")
