@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from causeway.llm.textbatch import blocks, buffers, gathered, segments
-from causeway.runtime import ship
+from causeway.runtime import lean, ship
 
 #: The pre-tokenisation pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -241,4 +241,4 @@ def encode_decode(docs: DataFrame, file: str, with_ids: bool = False) -> DataFra
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     more = ", ids array<int>" if with_ids else ""
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)

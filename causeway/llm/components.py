@@ -4,33 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from causeway.runtime import staged
+from causeway.runtime import discard, lean, staged
 
-MAX_ROUNDS = 60
+#: Edges that a task takes into one forest.
+FOREST = 200_000
 
 
-def _forest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each partition's edges as stars around the smallest member, which drops edges that close a cycle there."""
-    for frame in frames:
-        up: dict = {}
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of a partition's edges as stars around the smallest member, which drops edges that close a cycle there."""
+    up: dict = {}
 
-        def root(x, up=up):
-            while (y := up.get(x, x)) != x:
-                up[x] = up.get(y, y)
-                x = y
-            return x
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
 
-        for a, b in zip(frame["u"].tolist(), frame["v"].tolist(), strict=True):
+    def stars(schema: pa.Schema) -> pa.RecordBatch:
+        ends = [(x, root(x)) for x in up]
+        ends = [(x, y) for x, y in ends if x != y]
+        return pa.RecordBatch.from_arrays([pa.array([e[i] for e in ends], schema.field(i).type) for i in (0, 1)], ["u", "v"])
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 up[max(a, b)] = min(a, b)
-        nodes = list(up)
-        kind = frame["u"].dtype if frame["u"].dtype.kind == "i" else object
-        yield pd.DataFrame({"u": nodes, "v": [root(x) for x in nodes]}, dtype=kind).query("u != v")
+        if len(up) > FOREST:
+            yield stars(schema)
+            up.clear()
+    if up:
+        yield stars(schema)
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -45,24 +55,21 @@ def _star(pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(node, component) for every end of an edge; component is the smallest node reachable.
+    """(node, component) for every end of an edge, staged; component is the smallest node reachable.
 
-    Null ends and self-loops are ignored; no edges give no rows. Each round is written to the shared folder.
+    Null ends and self-loops are ignored; no edges give no rows. Each round is written to the shared folder, which then
+    lets go of the one before; rounds go on until nothing moves, which takes the logarithm of the longest path or so.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNotNull() & F.col(b).isNotNull()).alias("ok"))
     pairs = pairs.where("ok and u <> v").select("u", "v").distinct()
-    pairs = staged(pairs.mapInPandas(_forest, pairs.schema), "star")
+    pairs = staged(pairs.mapInArrow(lean(_forest), pairs.schema), "star")
     print_of = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    was = print_of(pairs)
-    for _ in range(MAX_ROUNDS):
-        if not was[0]:
-            break
-        pairs = staged(_star(pairs), "star")
-        now = print_of(pairs)
-        if now == was:
-            break
-        was = now
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    was, now = None, print_of(pairs)
+    while now[0] and now != was:
+        before, pairs = pairs, staged(_star(pairs), "star")
+        discard(before)
+        was, now = now, print_of(pairs)
     out = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
+    out = out.unionByName(out.select(F.col("component").alias("node"), "component").distinct())
+    out.staged_at = pairs.staged_at
+    return out

@@ -8,12 +8,21 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
+#: Bytes, words or shingles worked on at a time, so that temporary arrays don't grow with a text.
+STRIDE = 1 << 18
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _STEP = np.uint64(0xA0761D6478BD642F)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_UP, _DOWN = _powers(_P, STRIDE + 1), _powers(_P_INV, STRIDE + 1)
 
 #: Lower-cases A-Z only.
 FOLD = np.arange(256, dtype=np.uint8)
@@ -57,17 +66,6 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             first = last
 
 
-def _tables(n: int) -> None:
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = max(n, 2 * BLOCK_BYTES)
-        _powers = np.full(size, _P)
-        _inverse = np.full(size, _P_INV)
-        _powers[0] = _inverse[0] = 1
-        np.multiply.accumulate(_powers, out=_powers)
-        np.multiply.accumulate(_inverse, out=_inverse)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread a 64-bit value over all its bits."""
     h = (h ^ (h >> np.uint64(32))) * _MIX
@@ -77,24 +75,39 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and past-the-last byte of each maximal run of `inside` bytes; no run crosses a document's end."""
-    m = inside[data]
-    n = len(m)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    first, last = m.copy(), m.copy()
-    first[1:] &= ~m[:-1] | edge[1:-1]
-    last[:-1] &= ~m[1:] | edge[1:-1]
-    return np.flatnonzero(first), np.flatnonzero(last) + 1
+    n = len(data)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a in range(0, n, STRIDE):
+        b = min(a + STRIDE, n)
+        m = inside[data[a:b]]
+        before, after = np.empty_like(m), np.empty_like(m)
+        before[1:], before[0] = m[:-1], a > 0 and inside[data[a - 1]]
+        after[:-1], after[-1] = m[1:], b < n and inside[data[b]]
+        edge = offsets[np.searchsorted(offsets, a) : np.searchsorted(offsets, b, "right")] - a
+        before[edge[edge < b - a]] = False
+        after[edge[edge > 0] - 1] = False
+        starts.append(np.flatnonzero(m & ~before) + a)
+        ends.append(np.flatnonzero(m & ~after) + a + 1)
+    return np.concatenate(starts), np.concatenate(ends)
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = FOLD) -> np.ndarray:
     """A 64-bit hash of each span's folded bytes: a polynomial in a fixed odd base, from differences of one running sum."""
-    _tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((fold[data].astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _inverse[starts] + (ends - starts).astype(np.uint64) * _STEP)
+    low, high = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    carry, scale = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for a in range(0, len(data), STRIDE):
+        part = data[a : a + STRIDE]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((fold[part].astype(np.uint64) + np.uint64(1)) * _UP[: len(part)], out=sums[1:])
+        sums *= scale
+        sums += carry
+        i, j = np.searchsorted(starts, [a, a + len(part)])
+        low[i:j] = sums[starts[i:j] - a]
+        i, j = np.searchsorted(ends, [a + 1, a + len(part) + 1])
+        high[i:j] = sums[ends[i:j] - a]
+        carry, scale = sums[-1:], scale * _UP[STRIDE]
+    back = _DOWN[starts % STRIDE] * _powers(_DOWN[STRIDE], len(data) // STRIDE + 1)[starts // STRIDE]
+    return mix((high - low) * back + (ends - starts).astype(np.uint64) * _STEP)
 
 
 def shingle_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,18 +117,24 @@ def shingle_hashes(words: np.ndarray, doc: np.ndarray, n_docs: int, k: int) -> t
     """
     n = np.bincount(doc, minlength=n_docs)
     begin = np.concatenate([[0], np.cumsum(n)])
-    made = np.where(n >= k, n - k + 1, (n > 0).astype(np.int64))
-    offsets = np.concatenate([[0], np.cumsum(made)])
-    at = np.arange(offsets[-1]) - np.repeat(offsets[:-1] - begin[:-1], made)
-    size = np.repeat(np.minimum(n, k), made)
-    h = size.astype(np.uint64) * _STEP
-    for j in range(k):
-        there = j < size
-        if there.all():
-            h = mix(h + words[at + j] * _P)
-        else:
-            h[there] = mix(h[there] + words[at[there] + j] * _P)
-    return h, offsets
+    offsets = np.concatenate([[0], np.cumsum(np.where(n >= k, n - k + 1, n > 0))])
+    out = np.empty(offsets[-1], np.uint64)
+    many = len(words) - k + 1
+    for a in range(0, many, STRIDE):
+        b = min(a + STRIDE, many)
+        h = np.repeat(np.array([k], np.uint64) * _STEP, b - a)
+        for j in range(k):
+            h = mix(h + words[a + j : b + j] * _P)
+        whole = np.flatnonzero(doc[a:b] == doc[a + k - 1 : b + k - 1])
+        d = doc[a + whole]
+        out[offsets[d] + a + whole - begin[d]] = h[whole]
+    for size in range(1, k):
+        d = np.flatnonzero(n == size)
+        h = np.repeat(np.array([size], np.uint64) * _STEP, len(d))
+        for j in range(size):
+            h = mix(h + words[begin[d] + j] * _P)
+        out[offsets[d]] = h
+    return out, offsets
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, inside: np.ndarray = NOT_BLANK) -> list[np.ndarray]:
@@ -161,6 +180,17 @@ def gathered(flat: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.nd
     return np.concatenate(out)
 
 
+def byte_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each document has each byte value (n rows of 256)."""
+    out = np.zeros((len(offsets) - 1, 256), np.int64)
+    for a in range(0, len(data), STRIDE):
+        b = min(a + STRIDE, len(data))
+        i, j = int(np.searchsorted(offsets, a, "right")) - 1, int(np.searchsorted(offsets, b, "left"))
+        of = np.repeat(np.arange(j - i), np.diff(np.clip(offsets[i : j + 1], a, b)))
+        out[i:j] += np.bincount(of * 256 + data[a:b], minlength=(j - i) * 256).reshape(j - i, 256)
+    return out
+
+
 def per_document(values: np.ndarray, offsets: np.ndarray, dtype: type = np.float64) -> np.ndarray:
     """Sums of values over each document's bytes; 0 for an empty one."""
     out = np.zeros((len(offsets) - 1, *values.shape[1:]), dtype)

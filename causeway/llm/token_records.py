@@ -33,7 +33,7 @@ from causeway.llm.textbatch import blocks, gathered
 from causeway.runtime import lean, shared_folder, ship
 
 #: Text bytes of one file, the id that ends a document, text bytes encoded at a time, pieces given to the library at a time.
-FILE_BYTES, END_ID, BLOCK, BATCH = 32 << 20, 2, 4 << 20, 10_000
+FILE_BYTES, END_ID, BLOCK, BATCH = 32 << 20, 2, 2 << 20, 10_000
 #: Line feed, tab and carriage return as spaces.
 BLANKS = np.arange(256, dtype=np.uint8)
 BLANKS[[9, 10, 13]] = 32

@@ -70,13 +70,41 @@ def brute_components(texts, k, percent):
     return [(i, len(s), root(i), n_links[i]) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize("k, percent, rows", [(4, 85, 1024), (5, 80, 7)])
-def test_ngram_join(spark, frame, small, k, percent, rows, monkeypatch):
+@pytest.mark.parametrize("k, percent, rows, hot", [(4, 85, 1024, 1 << 16), (5, 80, 7, 1 << 16), (4, 85, 7, 0), (5, 80, 1024, 2)])
+def test_ngram_join(spark, frame, small, k, percent, rows, hot, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(ngram_join, "HOT_CLASSES", hot)
+    monkeypatch.setattr(ngram_join, "WINDOW_LEAST", 1 + (hot > 3))
     got = sorted(tuple(r) for r in ngram_join.jaccard_components(frame, k, percent).collect())
     assert got == brute_components(small, k, percent)
 
 
+def test_ngram_join_shared_line(spark, monkeypatch):
+    """A line in every document, many copies and many near copies: counts, components and links as by brute force."""
+    monkeypatch.setattr(ngram_join, "HOT_CLASSES", 20)
+    monkeypatch.setattr(ngram_join, "WINDOW_LEAST", 2)
+    rng = random.Random(11)
+    line = "all rights reserved by the owners of this work and their heirs"
+    say = lambda n: [f"u{rng.randrange(500)}" for _ in range(n)]
+    texts = [line] * 9 + [f"{line} {' '.join(say(rng.choice((1, 3, 20))))}" for _ in range(80)]
+    one = say(40)
+    for i in range(40):
+        w = list(one)
+        w[i % 40] = "other"
+        texts.append(f"{' '.join(w)} {line}")
+    texts += [" ".join(one)] * 7
+    got = sorted(tuple(r) for r in ngram_join.jaccard_components(docs_of(spark, texts).repartition(6), 4, 85).collect())
+    assert got == brute_components(texts, 4, 85)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(4)
+    left, right = ([np.unique(rng.integers(0, high, rng.integers(0, 60)).astype(np.uint64)) for _ in range(30)] for high in (50, 90))
+    want = [[len(np.intersect1d(a, b)) for b in right] for a in left]
+    assert ngram_join.overlaps(left, right).tolist() == want
+    assert ngram_join.overlaps([], right).shape == (0, 30) and ngram_join.overlaps([left[0][:0]], [left[0][:0]]).tolist() == [[0]]
+
+
 @pytest.mark.parametrize("rows", [1024, 7])
 def test_ngram_join_null_ids(spark, small, rows, monkeypatch):
     """A text that only rows without a doc_id have still links the others."""
@@ -189,15 +217,17 @@ def test_bpe_blocks_equal_library():
         b._cache, b._older = {}, b._cache
 
 
-def test_chunk_encoder():
-    """Ids equal the library's for case, marks, digits, composed and special strings, also after the cache has turned over."""
-    odd = ["<|endoftext|>.", "<|ENDOFTEXT|>", "a<|endoftext|>B,", "İstanbul.", "ΣΑΣ.", "École.", "E\u0301cole.", "IT'S!", "don't,x;", "x'", "µ.", "ª.", "²!", "1.5.", "", " ", "\t\n", "A b.", "a..!?b.", "ß.", "A'LL."]
-    encoder = token_records.ChunkEncoder(vocab.path("word_bpe_49k.json"))
-    for texts in (odd, [" ".join(odd)], odd[::-1]):
+def test_piece_encoder():
+    """Ids equal the library's for case, marks, digits, composed and special strings."""
+    odd = ["<|endoftext|>.", "<|ENDOFTEXT|>", "a<|endoftext|>B,", "İstanbul.", "ΣΑΣ.", "École.", "E\u0301cole.", "IT'S!", "don't,x;", "x'", "µ.", "ª.", "²!", "1.5.", "", " ", "\t\n", "A b.", "a..!?b.", "ß.", "A'LL.", "x</w>y", "a\x0bb\x1cc\x7fd \x85 é", "ABC12de3", "-- a-b_c (d)", "ÀÞ×÷ĀĮĳ"]
+    rng = random.Random(3)
+    chars = [*ODD_CHARS, "B", "Z", "<", "|", ">", "-", "É", "\u0301"]
+    mixed = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    encoder = token_records.PieceEncoder(vocab.path("word_bpe_49k.json"))
+    for texts in (odd, [" ".join(odd)], mixed):
         data = [t.encode() for t in texts]
         ids, at = encoder.encode(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-        encoder.known, encoder.older = {}, encoder.known
 
 
 def test_token_records(frame, small):
