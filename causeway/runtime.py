@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 #: Bytes of one Arrow batch on its way to or from a Python worker, unless the session names another bound.
-ARROW_BYTES = "16m"
+ARROW_BYTES = "4m"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
