@@ -27,8 +27,8 @@ from causeway.runtime import lean, ship
 
 #: The pre-tokenisation pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Text bytes of one block, and distinct segments in one generation of a worker's cache.
-BLOCK, CACHE = 4 << 20, 200_000
+#: Text bytes of one block, distinct segments in one generation of a worker's cache, and pairs of tokens whose merging is remembered.
+BLOCK, CACHE, PAIRS = 2 << 20, 80_000, 400_000
 NEVER = 1 << 60
 
 
@@ -103,6 +103,8 @@ class Bpe:
                     x, before = self.parts[x][1], left
                 else:  # equal merges go from left to right, so one across the seam came before this one
                     y, before = self.parts[y][0], right + 1
+            if len(self._apart) >= PAIRS:
+                self._apart.clear()  # encode_words holds its get method, so the same dict goes on
             self._apart[a, b] = known
         return known
 
@@ -224,7 +226,8 @@ def encode_decode(docs: DataFrame, file: str, with_ids: bool = False) -> DataFra
 
     Null and empty texts have no tokens and decode to the empty text. Ids are hashed as little-endian unsigned 32-bit
     integers. Whole texts are encoded, in blocks of about BLOCK bytes; a worker keeps two generations of CACHE segments
-    from block to block. Other columns are ignored; an empty table gives no rows.
+    from block to block. Repeated rows, doc_ids and missing ones give a row each. Other columns are ignored; an empty
+    table gives no rows.
     """
     ship(docs.sparkSession)
 

@@ -23,7 +23,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.components import components
@@ -32,8 +32,9 @@ from causeway.runtime import discard, give_back, lean, ship, staged
 
 #: Classes and shingles of one block; columns of one dense step of the product; pairs of rows up to which a column stays sparse.
 BLOCK_ROWS, BLOCK_SHINGLES, COLUMNS, SPARSE = 1024, 1 << 19, 1024, 16
-#: Shingles that a task packs or counts at a time, and those of one range of values.
-PACK, RANGE = 1 << 20, 1 << 19
+#: Shingles that a task packs or counts at a time, those of one range of values, ranges that a task gets if that makes
+#: no more than so many tasks.
+PACK, RANGE, RANGES, TASKS = 1 << 20, 1 << 18, 4, 100_000
 #: In a window of PACK shingles those of fewer classes aren't counted; a shingle is hot if the others add up to this many
 #: classes, or to a share of all incidences of one in HOT_MOST, so that there are HOT_MOST hot shingles at most.
 WINDOW_LEAST, HOT_CLASSES, HOT_MOST = 8, 1 << 16, 1 << 20
@@ -110,20 +111,19 @@ def _is_hot(token: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token
 
 
-def _packed(k: int, ranges: int, hot: np.ndarray):
-    """Rows (range, blob): the window's distinct (shingle, class) incidences of one range of shingle values, packed.
+def _packed(k: int, ranges: int, hot: np.ndarray, slots: np.ndarray):
+    """Rows (slot, range, blob): the window's distinct (shingle, class) incidences of one range of shingle values, packed.
 
     A shingle stands as the upper 48 bits of its hash. A blob holds the classes' nodes, the sorted shingles as
     differences, and for each its class. Equal sets in a window are packed once; hot shingles are left out.
     """
-    shift = 48 - (ranges.bit_length() - 1)
 
     def emit(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         nodes = np.fromiter(sets, np.int64, len(sets))
         token, of = np.concatenate(list(sets.values())), np.repeat(np.arange(len(nodes)), [len(s) for s in sets.values()])
         order = np.argsort(token)
         token, of = token[order], of[order]
-        which = token >> shift
+        which = (token >> 16) * ranges >> 32
         first = np.flatnonzero(np.diff(which, prepend=-1))
         blobs = []
         for a, b in zip(first, [*first[1:], len(token)], strict=True):
@@ -132,7 +132,7 @@ def _packed(k: int, ranges: int, hot: np.ndarray):
             width = 4 if int(step.max()) < 1 << 32 else 8
             head = np.array([len(own), b - a, width, int(token[a])], np.uint64)
             blobs.append(b"".join(x.tobytes() for x in (head, nodes[own], step.astype(f"<u{width}"), local.astype(_index(len(own))))))
-        return pa.RecordBatch.from_arrays([pa.array(which[first]), pa.array(blobs, pa.binary())], ["range", "blob"])
+        return pa.RecordBatch.from_arrays([pa.array(slots[which[first] % len(slots)]), pa.array(which[first]), pa.array(blobs, pa.binary())], ["slot", "range", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = {}, 0
@@ -204,6 +204,12 @@ def _shared(table: pa.Table) -> pa.Table:
     return out
 
 
+def _slots(spark: SparkSession, n: int) -> np.ndarray:
+    """A number for each of n partitions that hash partitioning puts there, so that ranges are dealt out evenly."""
+    ids = spark.range(16 * n + 64).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p"))
+    return np.array(sorted(r[0] for r in ids.groupBy("p").agg(F.min("id")).select("min(id)").collect()), np.int64)
+
+
 def _candidates(docs: DataFrame, features: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """Star edges (a, b) between classes of similar size that share a shingle of both their prefixes, staged.
 
@@ -211,11 +217,12 @@ def _candidates(docs: DataFrame, features: DataFrame, classes: DataFrame, k: int
     that no other class has come before all others, so only how many there are matters.
     """
     total = int(classes.agg(F.sum("n")).first()[0] or 0)
-    ranges = 1 << max(0, math.ceil(math.log2(max(1, total / RANGE))))
+    ranges = max(1, -(-total // RANGE))
+    tasks = min(TASKS, -(-ranges // RANGES))
     counted = features.where("sig IS NULL").select(F.explode(F.arrays_zip("tokens", "counts")).alias("x")).groupBy(F.col("x.tokens").alias("token")).agg(F.sum("x.counts").alias("c"))
     hot = np.array(sorted(r[0] for r in counted.where(F.col("c") > max(HOT_CLASSES, total // HOT_MOST)).select("token").collect()), np.int64)
-    packed = docs.mapInArrow(_packed(k, ranges, hot), "range long, blob binary")
-    shared = packed.groupBy("range").applyInArrow(_shared, "token long, node long, df long")
+    packed = docs.mapInArrow(_packed(k, ranges, hot, _slots(docs.sparkSession, tasks)), "slot long, range long, blob binary")
+    shared = packed.repartition(tasks, "slot").groupBy("slot", "range").applyInArrow(_shared, "token long, node long, df long")
     sizes = classes.groupBy("node").agg(F.max("n").alias("n"), F.max("m").alias("m"))
     if len(hot):
         parts = docs.mapInArrow(_hot_parts(k, percent, hot), "node long, n_hot long, tokens array<long>").groupBy("node").agg(F.max("n_hot").alias("n_hot"), F.first("tokens").alias("tokens"))

@@ -1,13 +1,12 @@
 """Token counts by overlap resynchronisation: huge documents are encoded in overlapping chunks and spliced.
 
-A document of more than CHUNK bytes is cut into chunks that overlap. Neighbours are spliced at a boundary that both
-encodings have in the overlap and that is proven stable: a space between two characters that aren't white space. There
-the pre-tokeniser begins a new piece whatever stands before or after, so a token that starts there in one chunk starts
-there in the whole text, and the tokens on either side depend on nothing beyond it. If the overlap holds no such common
-boundary, it is widened, in the end to the whole rest of the document.
-
-Chunks and shorter documents are encoded by the same boundaries: of the segments between them only distinct ones that
-the cache lacks go through the library, and what is kept of each are the lengths of its tokens.
+A document of more than CHUNK bytes is cut into chunks that overlap, and each chunk goes through the library as a whole.
+The lengths of its tokens give where each of them starts. Neighbours are spliced at a boundary that is proven stable (a
+space between two characters that aren't white space: there the pre-tokeniser begins a new piece whatever stands before
+or after) and at which both encodings are seen to start a token. If the overlap holds none, it is widened; if the whole
+next chunk holds none, the two become one longer chunk.
+
+Of shorter documents, which need no splice, only distinct segments between stable boundaries go through the library.
 """
 
 from __future__ import annotations
@@ -20,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from causeway.llm.textbatch import blocks, gathered, seams, segments
-from causeway.runtime import ship
+from causeway.runtime import lean, ship
 
 #: Bytes of a chunk and of the first overlap tried; text bytes of one block; distinct segments in one generation of a worker's cache.
-CHUNK, OVERLAP, BLOCK, CACHE = 1 << 15, 1 << 8, 4 << 20, 200_000
-#: Segments given to the library at a time.
-BATCH = 10_000
+CHUNK, OVERLAP, BLOCK, CACHE = 1 << 15, 1 << 8, 2 << 20, 80_000
+#: Segments and chunks given to the library at a time.
+BATCH, CHUNKS = 10_000, 16
 
 
 class Counter:
@@ -77,47 +76,54 @@ class Counter:
                 known[x] = self.size[e.ids].tobytes()
         return [known[x] for x in distinct]
 
-    def starts(self, data: np.ndarray) -> np.ndarray:
-        """Where each token of a text starts, in bytes."""
-        _, which, distinct = segments(data, np.array([0, len(data)]))
-        runs = self._sizes(distinct)
-        n = np.fromiter(map(len, runs), np.int64, len(runs)) // 2
-        sizes = gathered(np.frombuffer(b"".join(runs), "<u2"), np.cumsum(n) - n, n, which).astype(np.int64)
-        return np.cumsum(sizes) - sizes
+    def starts(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Where each token of each text starts, in bytes, as the library encodes the whole of it."""
+        out = []
+        for text, e in zip(texts, self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False), strict=True):
+            ends = np.cumsum(self.size[e.ids], dtype=np.int64)
+            if (int(ends[-1]) if len(ends) else 0) != len(text):
+                raise ValueError("tokens and text differ in length")
+            out.append(ends - self.size[e.ids])
+        return out
+
+    def boundary(self, stable: np.ndarray, now: np.ndarray, following: np.ndarray, begin: int, end: int) -> int | None:
+        """A stable place between begin and end at which both encodings start a token, the middle one of all."""
+        common = stable[np.searchsorted(stable, begin + 1) : np.searchsorted(stable, end - 1)]
+        common = common[np.isin(common, now) & np.isin(common, following)]
+        return int(common[len(common) // 2]) if len(common) else None
 
-    def long(self, data: np.ndarray) -> int:
-        """Tokens of a text of more than one chunk, given as its bytes."""
-        stable, size = seams(data), len(data)
+    def long(self, data: np.ndarray, stable: np.ndarray | None = None) -> int:
+        """Tokens of a text of more than one chunk, given as its bytes; `stable` are the places at which splices are proven."""
+        stable, size = seams(data) if stable is None else stable, len(data)
 
-        def at_character(x: int, low: int) -> int:
-            while low < x < size and data[x] & 0xC0 == 0x80:
+        def at_character(x: int) -> int:
+            while 0 < x < size and data[x] & 0xC0 == 0x80:
                 x -= 1
             return x
 
-        total, at, end = 0, 0, at_character(min(self.chunk, size), 0)  # the text up to `at` is counted; `at` is 0 or a stable boundary
-        now = self.starts(data[at:end]) + at
-        while end < size:
-            wide = self.overlap
-            while True:
-                begin = at_character(max(at, end - wide), at)
-                then = at_character(min(size, begin + max(self.chunk, 2 * wide)), end)
-                following = self.starts(data[begin:then]) + begin
-                common = stable[np.searchsorted(stable, begin + 1) : np.searchsorted(stable, end - 1)]
-                common = common[np.isin(common, now) & np.isin(common, following)]
-                if len(common):
-                    cut = int(common[len(common) // 2])
-                    total += int(np.searchsorted(now, cut))
-                    now, at, end = following[np.searchsorted(following, cut) :], cut, then
-                    break
-                self.widened += 1
-                if begin == at:  # nothing to splice at: encode what isn't counted yet as one longer chunk
-                    end = at_character(min(size, at + 2 * (end - at)), end)
-                    now = self.starts(data[at:end]) + at
-                    if end == size:
-                        break
-                    wide = self.overlap
-                else:
+        begins = sorted({at_character(x) for x in range(0, size, self.chunk)})
+        ends = [min(size, x + self.overlap) for x in begins[1:]] + [size]
+        spans = [(a, at_character(b)) for a, b in zip(begins, ends, strict=True)]
+        total, at, end, now = 0, 0, 0, np.zeros(0, np.int64)  # the text up to `at` is counted; `at` is 0 or a boundary
+        for group in range(0, len(spans), CHUNKS):
+            some = [x for x in spans[group : group + CHUNKS] if x[1] > end]
+            for (begin, stop), following in zip(some, self.starts([data[a:b].tobytes() for a, b in some]), strict=True):
+                following = following + begin
+                if not begin:
+                    now, end = following, stop
+                if stop <= end:
+                    continue
+                cut, wide = self.boundary(stable, now, following, max(at, begin), end), self.overlap
+                while cut is None and end < stop:
+                    self.widened += 1
                     wide *= 4
+                    # beyond the next chunk, what isn't counted yet becomes one chunk of twice the length
+                    end = at_character(max(begin + wide, end + 1)) if begin + wide < stop else at_character(min(size, max(stop, 2 * end - at)))
+                    now = self.starts([data[at:end].tobytes()])[0] + at
+                    cut = self.boundary(stable, now, following, max(at, begin), min(end, stop))
+                if cut is not None and end < stop:
+                    total += int(np.searchsorted(now, cut))
+                    now, at, end = following[np.searchsorted(following, cut) :], cut, stop
         return total + len(now)
 
     def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -142,8 +148,9 @@ def count_tokens(docs: DataFrame, file: str, limit: int = 1024, chunk: int = CHU
     """One row for each row of docs(doc_id, text): doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit).
 
     Counts are those of the library for the whole text, without added special tokens; special strings inside a text are
-    what the library makes of them. Null and empty texts have no bytes and no tokens. Other columns are ignored; an
-    empty table gives no rows.
+    what the library makes of them. Null and empty texts have no bytes and no tokens. Repeated rows, doc_ids and missing
+    ones give a row each. Other columns are ignored; an empty table gives no rows. A text of any length is encoded in
+    chunks; only one without any space between two other characters goes through the library at once.
     """
     ship(docs.sparkSession)
 
@@ -151,10 +158,10 @@ def count_tokens(docs: DataFrame, file: str, limit: int = 1024, chunk: int = CHU
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        counter = _counters.setdefault((file, chunk, overlap), None) or Counter(file, chunk, overlap)
+        counter = _counters.get((file, chunk, overlap)) or Counter(file, chunk, overlap)
         _counters[file, chunk, overlap] = counter
         for part, data, offsets in blocks(batches, most=BLOCK):
             n = counter.count(data, offsets)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -180,7 +180,7 @@ def test_bpe_equals_library(spark, frame, small):
         ids = library.encode(small[r["doc_id"]] or "", add_special_tokens=False).ids
         assert r["ids"] == ids and r["n_tokens"] == len(ids)
         assert r["ids_sha256"] == sha256(np.array(ids, "<u4").tobytes()).hexdigest()
-        assert r["decoded_sha256"] == sha256((small[r["doc_id"]] or "").encode()).hexdigest()
+        assert r["decoded_sha256"] == sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
 def test_bpe_trie_equals_plain_merging():
@@ -205,15 +205,55 @@ def test_token_counts_resynchronise():
     assert c.widened
 
 
+def test_token_counts_reject_wrong_boundaries(monkeypatch):
+    """Places inside tokens, offered as stable, are refused, since the two encodings aren't both seen to start a token there."""
+    rng = random.Random(14)
+    c, cuts, offered, see = token_count.Counter(vocab.path("byte_bpe_50k.json"), 200, 24), [], 0, token_count.Counter.boundary
+
+    def seen(self, stable, now, following, begin, end):
+        nonlocal offered
+        offered += int(((stable > begin) & (stable < end - 1)).sum())
+        cuts.append(see(self, stable, now, following, begin, end))
+        return cuts[-1]
+
+    monkeypatch.setattr(token_count.Counter, "boundary", seen)
+    for _ in range(30):
+        text = " ".join(rng.choice(["word", "tokens", "house", "there", "people"]) for _ in range(300))
+        data = np.frombuffer(text.encode(), np.uint8)
+        ids = c.tokenizer.encode(text, add_special_tokens=False).ids
+        starts, cuts[:] = np.cumsum(c.size[ids]) - c.size[ids], []
+        assert c.long(data, np.arange(2, len(data))) == len(ids) == c.long(data)
+        assert set(cuts) - {None} <= set(starts.tolist())
+        assert c.long(data, np.setdiff1d(np.arange(2, len(data)), starts)) == len(ids)  # nothing but wrong places: widened to the end
+    assert offered > 5 * len(cuts) and c.widened
+
+
+def test_token_counts_of_long_texts(spark):
+    """A text of several MB, one without any boundary, and odd rows, through the query's function, against the library."""
+    from tokenizers import Tokenizer
+
+    rng = random.Random(15)
+    words = [f"{rng.choice('abcdefgh')}{i}{rng.choice(['é', 'ing', ',', '!'])}" for i in range(5000)]
+    texts = [" ".join(rng.choice(words) for _ in range(400_000)), "x" * 150_000, "日本語" * 30_000, *ODD]
+    library = Tokenizer.from_file(vocab.path("byte_bpe_50k.json"))
+    rows = token_count.count_tokens(docs_of(spark, texts), vocab.path("byte_bpe_50k.json")).collect()
+    assert len(texts[0]) > 2_000_000 and len(rows) == len(texts)
+    for r in rows:
+        t = texts[r["doc_id"]] or ""
+        n = len(library.encode(t, add_special_tokens=False).ids)
+        assert tuple(r)[1:] == (len(t.encode()), n, n > 1024)
+
+
 def test_bpe_blocks_equal_library():
     from tokenizers import Tokenizer
 
     rng = random.Random(8)
     library, b = Tokenizer.from_file(vocab.path("byte_bpe_50k.json")), bpe.Bpe(vocab.path("byte_bpe_50k.json"))
+    decoded = lambda ids: library.decode(ids, skip_special_tokens=False)
     texts = ["".join(rng.choice(ODD_CHARS) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     for _ in range(2):
         for t, ids in zip(texts, b.encode(texts), strict=True):
-            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids and b.decode(ids) == t
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids and b.decode(ids) == t == decoded(ids.tolist())
         b._cache, b._older = {}, b._cache
 
 
