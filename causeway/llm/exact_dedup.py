@@ -43,8 +43,10 @@ def deduplicated(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     repeat both doc_id and text any one stays. A null text equals an empty one.
     """
     order = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"], docs["text"].isNull().alias("__null")).alias("row"), order.alias("o"), F.coalesce("text", F.lit("")).alias("t"))
+    # the document's own columns stand in a struct of their own, so that no name can clash
+    kept = F.struct(F.struct(*[docs[c] for c in docs.columns if c != "text"], F.lit(0).alias("text")).alias("own"), docs["text"].isNull().alias("none"))
+    keyed = docs.select(kept.alias("row"), order.alias("o"), F.coalesce("text", F.lit("")).alias("t"))
     keyed = keyed.withColumn("digest", F.unhex(F.sha2("t", 256))).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     salted = keyed.groupBy("digest", "t", "salt").agg(F.max_by("row", "o").alias("row"), F.max("o").alias("o"))
     winners = salted.groupBy("digest", "t").agg(F.max_by("row", "o").alias("row"))
-    return winners.select(*[F.when(~F.col("row.__null"), F.col("t")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return winners.select(*[F.when(~F.col("row")["none"], F.col("t")).alias(c) if c == "text" else F.col("row")["own"][c].alias(c) for c in docs.columns])

@@ -17,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.llm.textbatch import blocks, per_document
-from causeway.runtime import ship
+from causeway.runtime import lean, ship
 
 DEPTH = 3
-#: Documents of each language in the training sample, and the longest text (bytes) that enters it.
-SAMPLE_DOCS, SAMPLE_LONGEST = 400, 16_384
-#: A context is kept if some language saw it this often; nodes of the table at most (the most frequent ones).
-LEAST_SEEN, MOST_NODES = 4, 24_000
+#: Whole documents of each language in the training sample, and about how many bytes of them.
+SAMPLE_DOCS, SAMPLE_BYTES = 400, 4 << 20
+#: A context is kept if some language saw it this often.
+LEAST_SEEN = 4
 
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123)]] = True
@@ -31,9 +31,13 @@ SCORE_BLOCK = 1 << 18
 
 
 class Trees:
-    """Code lengths in bits: cost[node, symbol, language], and child tables from newest to oldest context byte."""
+    """Code lengths in bits: cost[node, symbol, language], and child tables from newest to oldest context byte.
 
-    def __init__(self, samples: dict[str, list[bytes]]):
+    Every context that some language saw LEAST_SEEN times is a node, so the sample bounds the tables. `most_nodes`, if
+    given, keeps only so many of the most frequent ones, of each language, for those who need smaller tables.
+    """
+
+    def __init__(self, samples: dict[str, list[bytes]], most_nodes: int | None = None):
         self.langs = sorted(samples)
         used = np.zeros(256, bool)
         for texts in samples.values():
@@ -55,7 +59,7 @@ class Trees:
             for by_depth in counts:
                 for context, followers in by_depth[depth].items():
                     seen[context] = max(seen.get(context, 0), sum(followers.values()))
-            room = MOST_NODES - len(cost)
+            room = None if most_nodes is None else max(0, most_nodes * L - len(cost))
             wanted = sorted((c for c, m in seen.items() if m >= LEAST_SEEN and c[1:] in level), key=lambda c: (-seen[c], c))[:room]
             table = np.repeat(np.arange(len(cost), dtype=np.int32)[:, None], n + 2, 1)
             new: dict[tuple, int] = {}
@@ -130,22 +134,28 @@ def learnable() -> F.Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) != 0
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, longest: int = SAMPLE_LONGEST) -> Trees:
-    """Trees from about sample_docs whole texts of each non-null lang: those of at most `longest` bytes with the smallest hashes of doc_id.
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES, most_nodes: int | None = None) -> Trees:
+    """Trees from whole texts of each non-null lang, those with the smallest hashes of doc_id: at most sample_docs, and about sample_bytes in all.
 
-    The share taken of each language comes from a count over all rows; at most twice sample_docs texts of a language
-    reach the driver, which bounds the sample at 2 * sample_docs * longest bytes a language.
+    The share taken of each language comes from counts over all rows. A language always gives one text at least, however
+    long its texts are; null and empty texts teach nothing.
     """
-    rows = docs.where(learnable() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("at"))
-    rows = rows.where((F.octet_length("text") <= longest) & (F.octet_length("text") > 0))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    rows = docs.where(learnable() & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", "lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("at"))
+    counts = {r["lang"]: (r["n"], r["size"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("size")).collect()}
     if not counts:
         return Trees({})
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.3 * sample_docs / c))) for k, c in counts.items()])
-    got: dict[str, list[tuple]] = {k: [] for k in counts}
-    for r in rows.where(F.col("at") < share).orderBy("at").limit(2 * sample_docs * len(counts)).collect():
-        got[r["lang"]].append((r["at"], r["text"].encode()))
-    return Trees({k: [t for _, t in sorted(v)[:sample_docs]] for k, v in got.items()})
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.3 * sample_docs / n, 1.3 * sample_bytes / size))) for k, (n, size) in counts.items()])
+    got: dict[str, list[bytes]] = {k: [] for k in counts}
+    room = dict.fromkeys(counts, sample_bytes)
+    for r in rows.where(F.col("at") < share).orderBy("at", "doc_id", F.xxhash64("text")).limit(2 * sample_docs * len(counts)).collect():
+        text, own = r["text"].encode(), got[r["lang"]]
+        if len(own) < sample_docs and (room[r["lang"]] > 0 or not own):
+            own.append(text)
+            room[r["lang"]] -= len(text)
+    if none := [k for k, own in got.items() if not own]:
+        for r in rows.where(F.col("lang").isin(none)).groupBy("lang").agg(F.min_by("text", F.struct(F.octet_length("text"), "at")).alias("text")).collect():
+            got[r["lang"]].append(r["text"].encode())
+    return Trees(got, most_nodes)
 
 
 #: A text that takes more bits a byte than this under every language, and SLACK_BITS more, is in none of them: plain bytes
@@ -172,7 +182,8 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
 
     lang_pred has the shortest code; score is its probability given equal priors; bits_per_byte its code length. A text
     that is null or has no letter is `und` with score 0, as is every text if nothing could be learned. Ties go to the
-    first language by name. Other columns are ignored; an empty table gives no rows.
+    first language by name. Repeated rows, doc_ids and missing ones give a row each. Other columns are ignored; an empty
+    table gives no rows.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
@@ -182,7 +193,7 @@ def identify(docs: DataFrame, trees: Trees) -> DataFrame:
             langs, score, bits = _judged(shared.value, part.column(1), data, offsets)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(score), pa.array(bits)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
 def in_a_language(docs: DataFrame, trees: Trees, most_bits: float = MOST_BITS) -> DataFrame:
@@ -200,4 +211,4 @@ def in_a_language(docs: DataFrame, trees: Trees, most_bits: float = MOST_BITS) -
             keep = (np.array(langs) != "und") & (bits * np.diff(offsets) < most_bits * np.diff(offsets) + SLACK_BITS) if shared.value.langs else np.array([any(c.isalpha() for c in t or "") for t in part.column(at).to_pylist()], bool)
             yield part.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
