@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from causeway.operators import relations
 from causeway.plans.dsl import Condition, Term
@@ -22,13 +23,21 @@ def _known(pairs: DataFrame, anchors: DataFrame, events: DataFrame) -> DataFrame
     return pairs.join(own, "anchor_id").join(events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))), "event_id")
 
 
+def _equal(df: DataFrame, name: str, value):
+    """Whether a property equals a wanted value: numbers equal numbers, texts texts, truth values truth values; anything else differs."""
+    if name not in df.columns:
+        return F.lit(value is None)
+    if value is None:
+        return F.col(name).isNull()
+    held = df.schema[name].dataType
+    fits = isinstance(held, BooleanType) if isinstance(value, bool) else isinstance(held, NumericType) if isinstance(value, (int, float)) else isinstance(held, StringType) if isinstance(value, str) else True
+    return F.col(name).eqNullSafe(F.lit(value)) if fits else F.lit(False)
+
+
 def _props(pairs: DataFrame, props) -> DataFrame:
     """Every wanted value equal; a wanted None also matches a property that isn't there."""
     for name, value in props.items():
-        if name in pairs.columns:
-            pairs = pairs.where(F.col(name).eqNullSafe(F.lit(value)))
-        elif value is not None:
-            pairs = pairs.limit(0)
+        pairs = pairs.where(_equal(pairs, name, value))
     return pairs
 
 
@@ -71,6 +80,52 @@ def peer_pairs(anchors: DataFrame, events: DataFrame, edges: DataFrame, event_ty
     return joined.where(rest & (F.col("event_id") != F.col("anchor_id"))).select("anchor_id", "event_id")
 
 
+def peer_counts(term: Term, anchors: DataFrame, events: DataFrame, edges: DataFrame, count: str) -> DataFrame:
+    """(anchor_id, count): how many events a HasPeers term finds, without forming pairs; other ids than those of anchors come too.
+
+    Without a window, pools are counted by domain. With one, time is cut into buckets of the window's full width, so it
+    reaches over two at most, and what lies in it is told by running counts at its two ends.
+    """
+    t, window = term.value, term.options.window
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    free = _props(relations.parentless(events, edges).where(F.col("event_type") == t), term.options.props).select("event_id", "domain", at.alias("at"))
+    own = anchors.select("anchor_id", "domain", F.coalesce(F.col("event_type") == t, F.lit(False)).alias("same"), at.alias("at")).where("not same or domain is not null")
+    itself = free.where("domain is not null").select(F.col("event_id").alias("anchor_id"), F.lit(-1).cast("long").alias("c"))
+    if window is None:
+        by_domain = free.groupBy("domain").agg(F.count("*").alias("c"))
+        at_home = own.where("same").join(by_domain, "domain").select("anchor_id", "c")
+        abroad = own.where("not same").select("anchor_id", F.lit(free.count()).alias("c"))
+        return at_home.unionByName(abroad).unionByName(itself).groupBy("anchor_id").agg(F.sum("c").alias(count))
+    width = 2 * window + 1
+    bucket = lambda c: F.floor(c / F.lit(width))
+    # what an anchor of the type itself looks at is its own domain; others look at all, which is the null domain
+    where = F.when(F.col("same"), F.col("domain"))
+    low, high = F.col("at") - window, F.col("at") + window
+    edge = lambda x, step, over: F.struct(bucket(x).alias("bucket"), x.alias("x"), F.lit(step).alias("step"), over.alias("across"))
+    across = bucket(low) != bucket(high)
+    ends = own.select("anchor_id", where.alias("pool"), F.explode(F.array(edge(low, 0, across), edge(high, 2, across))).alias("e")).select("anchor_id", "pool", "e.*")
+    seen = [free.select(F.lit(None).cast(anchors.schema["anchor_id"].dataType).alias("anchor_id"), p.alias("pool"), bucket(F.col("at")).alias("bucket"), F.col("at").alias("x"), F.lit(1).alias("step"), F.lit(False).alias("across")) for p in (F.col("domain"), F.lit(None).cast("string"))]
+    rows = ends.unionByName(seen[0].where("pool is not null")).unionByName(seen[1])
+    whole = Window.partitionBy("pool", "bucket")
+    running = whole.orderBy("x", "step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    one = F.when(F.col("step") == 1, 1).otherwise(0)
+    told = rows.withColumn("upto", F.sum(one).over(running)).withColumn("all", F.sum(one).over(whole)).where("step <> 1")
+    c = F.when(F.col("step") == 2, F.col("upto")).when(F.col("across"), F.col("all") - F.col("upto")).otherwise(-F.col("upto"))
+    return told.select("anchor_id", c.cast("long").alias("c")).unionByName(itself).groupBy("anchor_id").agg(F.sum("c").alias(count))
+
+
+def truth(condition: Condition):
+    """A condition of types and domains only, as one expression over an event's columns; ValueError if it has another term."""
+
+    def value(term: Term):
+        if term.kind not in ("type", "domain", "any_type"):
+            raise ValueError(f"{term.kind} needs the graph")
+        column = F.col("domain" if term.kind == "domain" else "event_type")
+        return F.coalesce(column.isin(*term.value) if term.kind == "any_type" else column == term.value, F.lit(False))
+
+    return condition.decide(value, lambda a, b: a & b, lambda a, b: a | b)
+
+
 def matched(term: Term, anchors: DataFrame, events: DataFrame, edges: DataFrame) -> DataFrame:
     """(anchor_id, event_id) rows of a relational term."""
     ids, o, t = anchors.select("anchor_id"), term.options, term.value
@@ -104,7 +159,8 @@ def evaluate(condition: Condition, anchors: DataFrame, events: DataFrame, edges:
         else:
             found = matched(term, anchors, events, edges)
             rows.append(found.withColumn("term", F.lit(i)))
-            out = out.join(found.groupBy("anchor_id").agg(F.count("*").alias(f"n{i}")), "anchor_id", "left").withColumn(f"n{i}", F.coalesce(f"n{i}", F.lit(0)))
+            counts = peer_counts(term, anchors, events, edges, f"n{i}") if term.kind == "peers" else found.groupBy("anchor_id").agg(F.count("*").alias(f"n{i}"))
+            out = out.join(counts, "anchor_id", "left").withColumn(f"n{i}", F.coalesce(f"n{i}", F.lit(0)))
             n, o = F.col(f"n{i}"), term.options
             ok = n > 0 if o.how_many is None else n >= o.how_many if o.or_more else n == o.how_many
         names[id(term)] = i

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from causeway.operators.conditions import truth
 from causeway.operators.fold import Fold
 from causeway.plans.dsl import Composition, Rule, Watch
 from causeway.runtime import ship
 
-DERIVED = "grp string, derived_id string, rule_id string, event_type string, domain string, ts long, root_id string, place int, anchor_id string, n_contributors int, contributors array<string>"
+DERIVED = "grp string, derived_id string, rule_id string, event_type string, domain string, ts long, root_id string, place int, anchor_id string, n_contributors int, props string, contributors array<string>"
 
 
 def by_count(events: DataFrame, n: int, keys: tuple[str, ...] = ("event_type", "domain")) -> DataFrame:
@@ -29,6 +32,13 @@ def derived_by_count(events: DataFrame, n: int, keys: tuple[str, ...] = ("event_
     return by_count(events, n, keys).groupBy(*keys, "grp").agg(F.max("ts").alias("ts"), F.max("seq").alias("fired_seq"), F.count("*").alias("n_contributors")).where(F.col("n_contributors") == n + 1)
 
 
+def stateless(events: DataFrame, rule: Rule) -> DataFrame:
+    """What a rule without relational terms derives: (event_id, event_type, domain, ts, anchor_id, props), a filter and nothing else."""
+    fires = events.where(F.col("event_type").isin(*rule.triggers) & truth(rule.condition))
+    name = F.concat_ws(":", F.lit(rule.rule_id), F.col("event_id").cast("string"))
+    return fires.select(name.alias("event_id"), F.lit(rule.event_type).alias("event_type"), F.lit(rule.domain).alias("domain"), "ts", F.col("event_id").alias("anchor_id"), F.lit(json.dumps(dict(rule.props), sort_keys=True, default=str)).alias("props"))
+
+
 def clusters(rules: list[Rule]) -> list[list[Rule]]:
     """Rules that share a type they read, trigger on or make; rules of different clusters never affect each other."""
     groups: list[tuple[set[str], list[Rule]]] = []
@@ -44,21 +54,29 @@ def fold(events: DataFrame, rules: list[Rule], watches: list[Watch] = (), compos
     """What rules derive from events(event_id, event_type, domain, ts, seq) taken in the order of seq.
 
     Each cluster of rules is a group of its own; with `key`, so is each value of that column, which means one graph for
-    each value instead of one for all. Compositions tie all rules into one cluster.
+    each value instead of one for all. Compositions and rules with a process of their own tie all rules into one cluster.
+    `what`: derived, matches, composed, or the graph that came of it: events (derived and composed ones) or edges.
     """
     ship(events.sparkSession)
-    parts = [list(rules)] if compositions else clusters(rules)
+    parts = [list(rules)] if compositions or any(r.process for r in rules) else clusters(rules)
     of = {t: i for i, part in enumerate(parts) for r in part for t in (*r.triggers, *[x.value for x in r.condition.terms() if x.kind not in ("type", "domain", "any_type")])}
     if not of:
         raise ValueError("no rules")
-    cluster = F.coalesce(*[F.when(F.col("event_type") == t, F.lit(i)) for t, i in of.items()])
+    cluster = F.lit(0) if len(parts) == 1 and any(r.process for r in rules) else F.coalesce(*[F.when(F.col("event_type") == t, F.lit(i)) for t, i in of.items()])
     rows = events.select(F.concat_ws("/", cluster.cast("string"), F.col(key).cast("string") if key else F.lit("")).alias("grp"), cluster.alias("cluster"), F.col("event_id").cast("string"), "event_type", "domain", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "seq", *props).where("cluster is not null")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         state = Fold(parts[int(frame["cluster"].iloc[0])], list(watches), list(compositions))
         for r in frame.sort_values("seq", kind="stable").to_dict("records"):
             state.ingest(r["event_id"], r["event_type"], r["domain"], int(r["ts"]), {p: r[p] for p in props})
-        made = {"derived": state.derived, "matches": state.matches, "composed": state.composed}[what]
+        if what == "edges":
+            made = [{"from_id": c, "to_id": d["derived_id"], "relation": "trigger"} for d in state.derived for c in d["contributors"]]
+            made += [{"from_id": c, "to_id": d["derived_id"], "relation": "pattern_composition"} for d in state.composed for c in d["patterns"] if c in state.events]
+        elif what == "events":
+            made = [{**d, "event_id": d["derived_id"]} for d in (*state.derived, *state.composed)]
+            made = [{c: d[c] for c in ("event_id", "event_type", "domain", "ts", "props")} for d in made]
+        else:
+            made = {"derived": state.derived, "matches": state.matches, "composed": state.composed}[what]
         out = [{"grp": frame["grp"].iloc[0], **d, **({"n_contributors": len(d["contributors"])} if "contributors" in d else {})} for d in made]
         for d in out:
             if "sig" in d:
@@ -68,7 +86,9 @@ def fold(events: DataFrame, rules: list[Rule], watches: list[Watch] = (), compos
     schema = {
         "derived": DERIVED,
         "matches": "grp string, event_type string, domain string, depth int, sig string, occurrence long, ts long, derived_id string, rule_id string, n_contributors int",
-        "composed": "grp string, composition_id string, ts long, derived_id string, patterns array<string>",
+        "composed": "grp string, composition_id string, event_type string, domain string, ts long, derived_id string, props string, patterns array<string>",
+        "events": "grp string, event_id string, event_type string, domain string, ts long, props string",
+        "edges": "grp string, from_id string, to_id string, relation string",
     }[what]
     names = [c.split()[0] for c in schema.split(", ")]
     return rows.groupBy("grp").applyInPandas(run, schema)

@@ -6,8 +6,11 @@ share types, have windows or read each other's results, events are folded in ord
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left, insort
 from collections import defaultdict, deque
 from hashlib import sha256
+from math import inf
 
 from causeway.plans.dsl import Composition, Rule, Term, Watch
 
@@ -28,18 +31,24 @@ class Fold:
     def __init__(self, rules: list[Rule], watches: list[Watch] = (), compositions: list[Composition] = (), clock=None, max_cascade: int = 100_000):
         self.rules: dict[str, list[Rule]] = defaultdict(list)
         for rule in rules:
-            rule.condition.postfix()
+            if rule.process is None:
+                rule.condition.postfix()
             for t in rule.triggers:
                 self.rules[t].append(rule)
         self.watches, self.compositions, self.clock, self.max_cascade = list(watches), list(compositions), clock, max_cascade
+        #: Depth up to which signatures are wanted: none without a watch.
+        self.deepest = max([w.depth for w in self.watches if 1 <= w.depth <= MAX_DEPTH], default=0)
         self.events: dict[str, tuple] = {}
-        self.by_type: dict[str, dict[str, None]] = defaultdict(dict)
-        self.free: dict[str, dict[str, None]] = defaultdict(dict)
+        self.number: dict[str, int] = {}
+        #: Free events as (ts, number, id) in the order of their times, by type and domain.
+        self.free: dict[str, dict[str, list[tuple]]] = defaultdict(dict)
         self.up: dict[str, list[str]] = defaultdict(list)
         self.down: dict[str, list[str]] = defaultdict(list)
         self.signs: dict[str, list[int]] = {}
+        self.leaves: dict[tuple, list[int]] = {}
         self.counts: dict[tuple, int] = defaultdict(int)
         self.recent: dict[tuple, list[tuple]] = defaultdict(list)
+        self.fired: dict[str, int] = defaultdict(int)
         self.derived: list[dict] = []
         self.matches: list[dict] = []
         self.composed: list[dict] = []
@@ -66,7 +75,8 @@ class Fold:
         if kind == "siblings":
             return [c for c in dict.fromkeys(c for p in self.up[anchor] for c in self.down[p]) if c != anchor]
         if kind == "peers":
-            return [e for e in self.free[t] if e != anchor and (t != own_type or self.events[e][1] == own_domain)]
+            pools = self.free[t]
+            return self._within([pools.get(own_domain, [])] if t == own_type else list(pools.values()), anchor, term.options.window)
         found: dict[str, None] = {}
         for i, level in enumerate(self._levels_up(anchor, term.options.depth or 1)):
             for _ in range(i + 1):
@@ -74,6 +84,12 @@ class Fold:
             found |= dict.fromkeys(level)
         return [e for e in found if e != anchor]
 
+    def _within(self, pools: list[list[tuple]], anchor: str, window: int | None) -> list[str]:
+        """Free events other than the anchor, in the order in which they came; with a window only those in reach are looked at."""
+        at = self.events[anchor][2]
+        cut = (lambda p: p) if window is None else lambda p: p[bisect_left(p, (at - window,)) : bisect_left(p, (at + window, inf))]
+        return [e for _, e in sorted((n, e) for p in pools for _, n, e in cut(p) if e != anchor)]
+
     def _term(self, term: Term, anchor: str) -> tuple[bool, list[str]]:
         own_type, own_domain, at, _ = self.events[anchor]
         if term.kind in ("type", "domain", "any_type"):
@@ -104,12 +120,26 @@ class Fold:
     # writing
 
     def add(self, event_id: str, event_type: str, domain: str, ts: int, props: dict | None = None) -> str:
+        """An event without contributors as yet; one whose id is known takes the other's place."""
+        if event_id in self.events:
+            self._take(event_id)
         self.events[event_id] = (event_type, domain, ts, props or {})
-        self.by_type[event_type][event_id] = self.free[event_type][event_id] = None
-        base = _fnv(event_type.encode() + b"\0" + domain.encode() + b"\0")
-        self.signs[event_id] = [base, *[self._lineage(k, base, []) for k in range(1, MAX_DEPTH + 1)]]
+        self.number[event_id] = len(self.number)
+        insort(self.free[event_type].setdefault(domain, []), (ts, self.number[event_id], event_id))
+        if (event_type, domain) not in self.leaves:
+            base = _fnv(event_type.encode() + b"\0" + domain.encode() + b"\0")
+            self.leaves[event_type, domain] = [base, *[self._lineage(k, base, []) for k in range(1, self.deepest + 1)]]
+        self.signs[event_id] = self.leaves[event_type, domain]
         return event_id
 
+    def _take(self, event_id: str) -> None:
+        """Out of the free events, if it is one."""
+        event_type, domain, ts, _ = self.events[event_id]
+        pool, own = self.free[event_type].get(domain, []), (ts, self.number[event_id], event_id)
+        i = bisect_left(pool, own)
+        if i < len(pool) and pool[i] == own:
+            del pool[i]
+
     @staticmethod
     def _lineage(depth: int, base: int, below: list[int]) -> int:
         return _fnv(b"".join(x.to_bytes(8, "little") for x in (depth, base, *sorted(below))))
@@ -117,7 +147,7 @@ class Fold:
     def link(self, contributor: str, derived: str) -> None:
         self.up[contributor].append(derived)
         self.down[derived].append(contributor)
-        self.free[self.events[contributor][0]].pop(contributor, None)
+        self._take(contributor)
 
     def ingest(self, event_id: str, event_type: str, domain: str, ts: int, props: dict | None = None, root: str | None = None) -> None:
         """Add a leaf and run all rules it sets off, breadth first, each rule seeing what the one before it consumed."""
@@ -127,7 +157,7 @@ class Fold:
         while queue:
             anchor = queue.popleft()
             for rule in self.rules[self.events[anchor][0]]:
-                ok, found = self.holds(rule.condition, anchor)
+                ok, found = rule.process(self, anchor) if rule.process else self.holds(rule.condition, anchor)
                 if ok:
                     self._steps += 1
                     if self._steps > self.max_cascade * max(1, len(self.events)):
@@ -138,14 +168,14 @@ class Fold:
     def _derive(self, rule: Rule, anchor: str, contributors: list[str], root: str, place: int) -> str:
         name = sha256(f"{rule.rule_id}|{anchor}|{root}|{place}".encode()).hexdigest()[:32]
         ts = max(self.events[c][2] for c in contributors)
-        self.add(name, rule.event_type, rule.domain, ts)
+        self.add(name, rule.event_type, rule.domain, ts, dict(rule.props))
         base = self.signs[name][0]
-        self.signs[name] = [base, *[self._lineage(k, base, [self.signs[c][k - 1] for c in contributors]) for k in range(1, MAX_DEPTH + 1)]]
+        self.signs[name] = [base, *[self._lineage(k, base, [self.signs[c][k - 1] for c in contributors]) for k in range(1, self.deepest + 1)]]
         for c in contributors:
             self.link(c, name)
-        for k in range(1, MAX_DEPTH + 1):
+        for k in range(1, self.deepest + 1):
             self.counts[rule.event_type, rule.domain, k, self.signs[name][k]] += 1
-        self.derived.append({"derived_id": name, "rule_id": rule.rule_id, "event_type": rule.event_type, "domain": rule.domain, "ts": ts, "root_id": root, "place": place, "anchor_id": anchor, "contributors": contributors})
+        self.derived.append({"derived_id": name, "rule_id": rule.rule_id, "event_type": rule.event_type, "domain": rule.domain, "ts": ts, "root_id": root, "place": place, "anchor_id": anchor, "props": json.dumps(dict(rule.props), sort_keys=True, default=str), "contributors": contributors})
         for watch in self.watches:
             self._watch(watch, name, rule, ts, contributors)
         return name
@@ -177,12 +207,14 @@ class Fold:
         last = [held(k)[-1] for k in c.required]
         if c.window is not None and (max(last)[0] - min(last)[0] > c.window or min(last)[0] < now - c.window):
             return
-        name = sha256(f"{c.composition_id}|{len(self.composed)}|{match['derived_id']}".encode()).hexdigest()[:32]
-        self.composed.append({"composition_id": c.composition_id, "ts": now, "derived_id": name, "patterns": [x[1] for x in last]})
+        name = sha256(f"{c.composition_id}|{self.fired[c.composition_id]}|{match['derived_id']}".encode()).hexdigest()[:32]
+        self.fired[c.composition_id] += 1
+        props = {**c.props, "composition_id": c.composition_id, "pattern_count": len(last)}
+        self.composed.append({"composition_id": c.composition_id, "event_type": c.event_type, "domain": c.domain, "ts": now, "derived_id": name, "props": json.dumps(props, sort_keys=True, default=str), "patterns": [x[1] for x in last]})
         if c.reset_on_fire:
             for k in c.required:
                 held(k).clear()
-        self.ingest(name, c.event_type, c.domain, now, {"composition_id": c.composition_id, "pattern_count": len(last)})
+        self.ingest(name, c.event_type, c.domain, now, props)
         for _, pattern in last:
             if pattern in self.events:
                 self.link(pattern, name)
@@ -192,5 +224,5 @@ class Fold:
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        for k, make in (("rules", list), ("by_type", dict), ("free", dict), ("up", list), ("down", list), ("counts", int), ("recent", list)):
+        for k, make in (("rules", list), ("free", dict), ("up", list), ("down", list), ("counts", int), ("recent", list), ("fired", int)):
             setattr(self, k, defaultdict(make, state[k]))

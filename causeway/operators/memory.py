@@ -21,12 +21,22 @@ def motif_stats(keys: DataFrame, least: int = 1) -> DataFrame:
     return keys.groupBy("derived_type", "derived_domain", "contributor_sig", "rule_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_seen")).where(F.col("n") >= least)
 
 
+def motif_instances(keys: DataFrame, derived_type: str, derived_domain: str, contributor_sig: str, rule_id: str) -> DataFrame:
+    """The derived events of one motif."""
+    own = {"derived_type": derived_type, "derived_domain": derived_domain, "contributor_sig": contributor_sig, "rule_id": rule_id}
+    for column, value in own.items():
+        keys = keys.where(F.col(column) == value)
+    return keys
+
+
 def revisions(events: DataFrame, edges: DataFrame, relation: str = "trigger") -> dict[str, DataFrame]:
     """How often types, events' inputs and events' outputs changed.
 
     A materialised event counts once for its type and its input, once for each contributor's output and the
-    contributor's type; an edge added by hand counts for both its ends and for no type.
+    contributor's type; an edge added by hand counts for both its ends and for no type. Edges from patterns to composed
+    events count for nothing.
     """
+    edges = edges.where(F.col("relation") != "pattern_composition")
     made, own = edges.where(F.col("relation") == relation), edges.where(F.col("relation") != relation)
     typed = events.select("event_type").unionByName(made.join(events, made["from_id"] == events["event_id"]).select("event_type"))
     inputs = made.select(F.col("to_id").alias("event_id")).distinct().unionByName(own.select(F.col("to_id").alias("event_id")))
@@ -58,6 +68,13 @@ def signatures(events: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> l
     return levels
 
 
+def signature_of(events: DataFrame, edges: DataFrame, event_id, depth: int) -> DataFrame:
+    """(event_id, sig) of one event at one depth, 0 to MAX_DEPTH; no row for an unknown event."""
+    if not 0 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be 0 to {MAX_DEPTH}")
+    return signatures(events, edges, depth)[depth].where(F.col("event_id") == event_id)
+
+
 def lineage_stats(derived: DataFrame) -> DataFrame:
     """derived(derived_type, derived_domain, depth, sig, rule_id, ts): how often each shape was made, and when last."""
     return derived.groupBy("derived_type", "derived_domain", "depth", "sig").agg(F.count("*").alias("n"), F.max("ts").alias("last_seen"))

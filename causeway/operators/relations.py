@@ -35,16 +35,22 @@ def parents(anchors: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def levels_up(anchors: DataFrame, edges: DataFrame, depth: int) -> list[DataFrame]:
-    """Events first reached after 1, 2, ... depth outbound edges."""
-    seen = frontier = _start(anchors)
-    out = []
-    for _ in range(depth):
-        frontier = _up(frontier, edges).distinct().join(seen, ["anchor_id", "event_id"], "left_anti")
-        seen = seen.union(frontier)
+    """Events first reached after 1, 2, ... depth outbound edges. A level that another one follows is written, so a plan holds one level."""
+    frontier, out = _start(anchors), []
+    for i in range(depth):
+        frontier = _new(_up(frontier, edges), out)
+        if i + 1 < depth:
+            frontier = staged(frontier, "frontier")
         out.append(frontier)
     return out
 
 
+def _new(reached: DataFrame, before: list[DataFrame]) -> DataFrame:
+    """Distinct pairs but for the anchor itself and those of earlier levels."""
+    new = reached.where("event_id <> anchor_id").distinct()
+    return new.join(reduce(DataFrame.union, before), ["anchor_id", "event_id"], "left_anti") if before else new
+
+
 def ancestors(anchors: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """Derived events up to depth edges away with their distance; depth 0 or less gives none."""
     levels = [f.withColumn("depth", F.lit(i + 1)) for i, f in enumerate(levels_up(anchors, edges, max(depth, 0)))]
@@ -53,14 +59,15 @@ def ancestors(anchors: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 def contributors_closure(anchors: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """One row for each inbound edge of each distinct event within depth - 1 edges below the anchor."""
-    seen = frontier = _start(anchors)
-    out = []
-    for _ in range(max(depth, 0)):
+    frontier, before, out = _start(anchors), [], []
+    for i in range(max(depth, 0)):
         reached = _down(frontier, edges)
+        if i + 1 < depth:
+            reached = staged(reached, "reached")
         out.append(reached)
-        frontier = reached.distinct().join(seen, ["anchor_id", "event_id"], "left_anti")
-        seen = seen.union(frontier)
-    return reduce(DataFrame.union, out) if out else seen.limit(0)
+        frontier = _new(reached, before)
+        before.append(reached)
+    return reduce(DataFrame.union, out) if out else frontier.limit(0)
 
 
 def siblings(anchors: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,7 +84,8 @@ def cousins(anchors: DataFrame, edges: DataFrame, depth: int, exclude_siblings:
         found.append(level)
     if not found:
         return _start(anchors).limit(0)
-    out = reduce(DataFrame.union, found).where("event_id <> anchor_id").distinct()
+    out = reduce(DataFrame.union, found).where("event_id <> anchor_id")
+    out = out.distinct() if len(found) > 1 else out
     return out.join(siblings(anchors, edges), ["anchor_id", "event_id"], "left_anti") if exclude_siblings else out
 
 
@@ -100,17 +108,17 @@ def peer_counts(events: DataFrame, edges: DataFrame) -> DataFrame:
     return known.select("event_id", (F.coalesce("pool", F.lit(0)) - F.coalesce("free", F.lit(0))).cast("long").alias("n_peers"))
 
 
-def derivation_levels(ids: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
-    """0 for an event without contributors, else one more than its highest contributor's level. Assumes no cycle."""
+def derivation_levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """0 for an event without contributors, else one more than its highest contributor's level; ValueError if there is a cycle."""
     level = staged(ids.select("event_id").distinct().withColumn("level", F.lit(0)), "levels")
-    for _ in range(most):
+    for _ in range(level.count() + 1):
         below = level.select(F.col("event_id").alias("from_id"), F.col("level").alias("below"))
         up = edges.join(below, "from_id").groupBy(F.col("to_id").alias("event_id")).agg((F.max("below") + 1).alias("new"))
         new = staged(level.join(up, "event_id", "left").select("event_id", F.coalesce("new", F.lit(0)).alias("level"), (F.coalesce("new", F.lit(0)) != F.col("level")).alias("changed")), "levels")
         level = new.select("event_id", "level")
         if new.where("changed").first() is None:
             return level
-    raise ValueError("the graph has a cycle or is higher than allowed")
+    raise ValueError("the graph has a cycle")
 
 
 def windowed_peer_counts(events: DataFrame, before: int, after: int) -> DataFrame:

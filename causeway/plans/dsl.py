@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field, replace
 
 
@@ -122,13 +122,19 @@ class Condition:
 
 @dataclass(frozen=True)
 class Rule:
-    """Events of the trigger types that meet the condition give an event of event_type in domain."""
+    """Events of the trigger types that meet the condition give an event of event_type in domain, with the properties props.
+
+    `process`, if given, is asked instead of the condition: it takes the fold and the anchor's id, and returns whether the
+    rule fires and which events besides the anchor contribute.
+    """
 
     rule_id: str
     triggers: tuple[str, ...]
     condition: Condition
     event_type: str
     domain: str
+    props: Mapping[str, object] = field(default_factory=dict)
+    process: Callable[[object, str], tuple[bool, list[str]]] | None = None
 
 
 @dataclass(frozen=True)
@@ -143,7 +149,7 @@ class Watch:
 
 @dataclass(frozen=True)
 class Composition:
-    """required: (type, domain) to the least number of matches (0 counts as 1); window in micros or None."""
+    """required: (type, domain) to the least number of matches (0 counts as 1); window in micros or None; props go to the composed event."""
 
     composition_id: str
     required: Mapping[tuple[str, str], int]
@@ -151,3 +157,4 @@ class Composition:
     domain: str
     window: int | None = None
     reset_on_fire: bool = False
+    props: Mapping[str, object] = field(default_factory=dict)

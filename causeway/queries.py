@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import fnv
 from causeway.functions.time_units import MICROS, micros
-from causeway.operators import conditions, derive, memory, patterns, relations
+from causeway.operators import conditions, derive, memory, patterns, relations, report
 from causeway.plans.dsl import Composition, Condition, Rule, Watch
 from causeway.sources import model
 from causeway.sources.model import table, trade_edges, user_events
@@ -40,15 +40,14 @@ def _derived1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derive.derived_by_count(user_events(spark, sf_dir), 2)
 
 
-def _graph1(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """User events and the three-event clusters derived from them."""
+def _graph1(spark: SparkSession, sf_dir: str, domain=None) -> tuple[DataFrame, DataFrame]:
+    """User events and the three-event clusters derived from them, in the domain "derived" unless another column is named."""
     e = user_events(spark, sf_dir)
     name = lambda: F.concat_ws(":", F.lit("d"), "event_type", "domain", "grp")
     leaves = e.select(F.concat(F.lit("e:"), "event_id").alias("event_id"), "event_type", "domain", "ts")
-    made = derive.derived_by_count(e, 2).select(name().alias("event_id"), F.concat("event_type", F.lit("_cluster")).alias("event_type"), F.lit("derived").alias("domain"), "ts")
-    grouped = derive.by_count(e, 2).select("event_id", "event_type", "domain", "grp")
-    full = derive.derived_by_count(e, 2).select("event_type", "domain", "grp")
-    edges = grouped.join(full, ["event_type", "domain", "grp"]).select(F.concat(F.lit("e:"), "event_id").alias("from_id"), name().alias("to_id"), F.lit("trigger").alias("relation"))
+    made = derive.derived_by_count(e, 2).select(name().alias("event_id"), F.concat("event_type", F.lit("_cluster")).alias("event_type"), (F.col(domain) if domain else F.lit("derived")).alias("domain"), "ts")
+    grouped = derive.by_count(e, 2).withColumn("n", F.count("*").over(Window.partitionBy("event_type", "domain", "grp")))
+    edges = grouped.where("n = 3").select(F.concat(F.lit("e:"), "event_id").alias("from_id"), name().alias("to_id"), F.lit("trigger").alias("relation"))
     return leaves.unionByName(made), edges
 
 
@@ -82,13 +81,7 @@ def get_by_ids(s, d):
 
 
 def add_edge_validation(s, d):
-    edges = trade_edges(s, d)
-    known = _orders(s, d).where("anchor_id like 'o:%1'").unionByName(_lines(s, d)).select(F.col("anchor_id").alias("event_id"))
-    return model.dangling_edges(edges.where("to_id like 'o:%'"), known).select("from_id", "to_id")
-
-
-def add_edge_validation_all(s, d):
-    """All edges against all events; add_edge_validation knows only some orders, as its SQL does."""
+    """All edges against the events of all five tables."""
     return model.dangling_edges(trade_edges(s, d), model.trade_events(s, d)).select("from_id", "to_id")
 
 
@@ -208,8 +201,8 @@ def derive_edges(s, d):
 
 
 def derive_stateless(s, d):
-    e = user_events(s, d).where("event_type = 'error'")
-    return e.select(F.concat(F.lit("alert:"), "event_id").alias("event_id"), F.lit("alert").alias("event_type"), F.lit("ops").alias("domain"), "ts")
+    rule = Rule("alert", ("error",), Condition().is_type("error"), "alert", "ops")
+    return derive.stateless(user_events(s, d), rule).select("event_id", "event_type", "domain", "ts")
 
 
 def derive_two_level(s, d):
@@ -223,12 +216,12 @@ def _greedy(s, d, what="derived"):
 
 
 def derive_windowed_greedy(s, d):
-    return _greedy(s, d).drop("contributors")
+    return _greedy(s, d).drop("contributors", "props")
 
 
 def derive_cross_type_pair(s, d):
     pair = Condition().has_peers("purchase", how_many=1, or_more=True, window=24 * HOUR).or_().has_peers("error", how_many=1, or_more=True, window=24 * HOUR)
-    return derive.fold(user_events(s, d), [Rule("pair", ("purchase", "error"), pair, "failed_sale", "derived")], key="domain").drop("contributors")
+    return derive.fold(user_events(s, d), [Rule("pair", ("purchase", "error"), pair, "failed_sale", "derived")], key="domain").drop("contributors", "props")
 
 
 def derive_tumbling_fold(s, d):
@@ -304,8 +297,10 @@ def lineage_samples(s, d):
 
 
 def _ordered(s, d):
-    first = _derived1(s, d)
-    return first.select(F.concat("event_type", F.lit("_cluster")).alias("derived_type"), F.col("domain").alias("derived_domain"), F.lit("s").alias("sig"), "ts", "fired_seq", F.concat_ws(":", F.lit("d"), "event_type", "domain", "grp").alias("derived_id"))
+    """Clusters in their users' domains with their lineage signatures at depth 1, in the order in which they fired."""
+    sig = memory.signatures(*_graph1(s, d, "domain"), 1)[1].withColumnRenamed("event_id", "derived_id")
+    first = _derived1(s, d).select(F.concat("event_type", F.lit("_cluster")).alias("derived_type"), F.col("domain").alias("derived_domain"), "ts", "fired_seq", F.concat_ws(":", F.lit("d"), "event_type", "domain", "grp").alias("derived_id"))
+    return first.join(sig, "derived_id")
 
 
 def watch_repeated(s, d):
@@ -321,7 +316,8 @@ def watch_spec_filter(s, d):
 
 
 def _matches(s, d):
-    return _ordered(s, d).withColumn("derived_domain", F.lit("derived"))
+    """What a watcher of every shape from its first occurrence on reports."""
+    return patterns.watch(_ordered(s, d), Watch(1, 1), "fired_seq").withColumn("derived_domain", F.lit("derived"))
 
 
 _PAIR = {("click_cluster", "derived"): 1, ("error_cluster", "derived"): 1}
@@ -340,12 +336,60 @@ def composition_min_occurrences(s, d):
     return patterns.compose(_matches(s, d), Composition("c", need, "x", "y"), "fired_seq").select("derived_id")
 
 
-NAMES = """get_by_type get_by_id get_by_ids add_edge_validation add_edge_validation_all children parents ancestors contributors_closure siblings cousins_d1 cousins_d2
+def has_child_or_more(s, d):
+    return _condition_on_clusters(s, d, Condition().has_child("click", how_many=2, or_more=True))
+
+
+def cousins_without_siblings(s, d):
+    return _counted(relations.cousins(_lines(s, d), trade_edges(s, d), 2, exclude_siblings=True))
+
+
+def report_lines(s, d):
+    nodes, edges = _graph1(s, d)
+    return report.report(nodes, edges).select("level", "event_id", "event_type", "domain", "contributors")
+
+
+def motif_instances(s, d):
+    nodes, edges = _graph1(s, d)
+    keys = memory.motif_keys(nodes.where("domain = 'derived'").withColumn("rule_id", F.lit("r")), edges, nodes)
+    return memory.motif_instances(keys, "click_cluster", "derived", "click|click|click", "r").select("event_id", "ts")
+
+
+def _storms(s, d, what):
+    """Three click bursts of a user make a storm, if they are hot, which is a property that only the first rule gives."""
+    first = Rule("burst", ("click",), Condition().has_peers("click", how_many=2), "click_burst", "derived", {"level": "hot"})
+    second = Rule("storm", ("click_burst",), Condition().has_peers("click_burst", how_many=2, props={"level": "hot"}), "storm", "derived")
+    return derive.fold(user_events(s, d), [first, second], key="domain", what=what)
+
+
+def derive_template_props(s, d):
+    user = F.substring_index("grp", "/", -1).alias("domain")
+    return _storms(s, d, "events").groupBy(user, "event_type", F.get_json_object("props", "$.level").alias("level")).agg(F.count("*").alias("n"))
+
+
+def fold_edges(s, d):
+    """What contributes to the bursts, asked of the fold's own graph."""
+    bursts = _storms(s, d, "events").where("event_type = 'click_burst'").select(F.col("event_id").alias("anchor_id"))
+    return relations.children(bursts, _storms(s, d, "edges")).select(F.col("event_id").cast("long").alias("event_id"))
+
+
+def derive_custom_rule(s, d):
+    """A rule of its own code: every event of type error whose user has had a purchase before, which stays free."""
+
+    def bought(graph, anchor):
+        return bool(graph.free["purchase"].get(graph.events[anchor][1])), []
+
+    rule = Rule("r", ("error",), Condition(), "failed", "derived", process=bought)
+    return derive.fold(user_events(s, d), [rule], key="domain").select(F.col("anchor_id").cast("long").alias("event_id"), "n_contributors")
+
+
+NAMES = """get_by_type get_by_id get_by_ids add_edge_validation children parents ancestors contributors_closure siblings cousins_d1 cousins_d2
 peers_count derivation_levels type_and_domain_terms has_child_exact has_descendants has_siblings_window has_cousin has_peers_window
 has_peers_cross_type property_filter and_or_precedence grouping eval_contributors window_units derive_tumbling derive_edges derive_stateless
 derive_two_level derive_windowed_greedy derive_cross_type_pair derive_tumbling_fold watch_fold motif_stats hot_motifs revisions_type revisions_in
 revisions_out revision_global sig0 sig_leaf_k sig_derived_k1 sig_derived_k5 lineage_stats lineage_rule_counts lineage_samples watch_repeated watch_min1
-watch_spec_filter composition_no_window composition_windowed composition_min_occurrences""".split()
+watch_spec_filter composition_no_window composition_windowed composition_min_occurrences
+has_child_or_more cousins_without_siblings report_lines motif_instances derive_template_props fold_edges derive_custom_rule""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -374,8 +418,7 @@ def oracle_sql() -> dict[str, str]:
         "get_by_type": f"SELECT event_id, event_type, domain, ts FROM ({EVENTS}) WHERE event_type = 'purchase'",
         "get_by_id": f"SELECT event_id, event_type, domain FROM ({EVENTS}) WHERE event_id = 7",
         "get_by_ids": f"SELECT position, event_id, event_type FROM (VALUES (CAST(0 AS BIGINT), 5), (1, 3), (2, 5)) w(position, id) JOIN ({EVENTS}) ON event_id = id",
-        "add_edge_validation": f"SELECT DISTINCT from_id, to_id FROM ({EDGES}) WHERE to_id LIKE 'o:%' AND NOT (to_id LIKE 'o:%1' AND to_id IN (SELECT 'o:' || o_orderkey FROM orders))",
-        "add_edge_validation_all": f"""WITH v AS (SELECT {LINE} AS id FROM lineitem UNION ALL SELECT 'o:' || o_orderkey FROM orders UNION ALL SELECT 'c:' || c_custkey FROM customer
+        "add_edge_validation": f"""WITH v AS (SELECT {LINE} AS id FROM lineitem UNION ALL SELECT 'o:' || o_orderkey FROM orders UNION ALL SELECT 'c:' || c_custkey FROM customer
                 UNION ALL SELECT 'n:' || n_nationkey FROM nation UNION ALL SELECT 'r:' || r_regionkey FROM region)
             SELECT DISTINCT from_id, to_id FROM ({EDGES}) e WHERE NOT EXISTS (SELECT 1 FROM v WHERE id = e.from_id) OR NOT EXISTS (SELECT 1 FROM v WHERE id = e.to_id)""",
         "children": f"SELECT 'o:' || l_orderkey AS anchor_id, {LINE} AS event_id FROM lineitem",
@@ -426,5 +469,13 @@ def oracle_sql() -> dict[str, str]:
         "watch_spec_filter": f"SELECT derived_id, occurrence FROM ({watched}) WHERE occurrence >= 2 AND derived_type = 'click_cluster' AND derived_domain IN ('user_1', 'user_2')",
         "composition_no_window": f"SELECT derived_id, first_pattern, second_pattern FROM ({pair}) WHERE n0 >= 1 AND n1 >= 1",
         "composition_windowed": f"SELECT derived_id, first_pattern, second_pattern FROM ({pair}) WHERE n0 >= 1 AND n1 >= 1 AND greatest(t0, t1) - least(t0, t1) <= INTERVAL 2 HOUR AND least(t0, t1) >= ts - INTERVAL 2 HOUR",
+        "has_child_or_more": f"SELECT anchor_id, count(*) >= 2 AS ok, count(*) AS n_matched FROM ({child}) WHERE event_type = 'click' GROUP BY 1",
+        "cousins_without_siblings": f"WITH a AS (SELECT {LINE} AS id, l_orderkey AS o, o_custkey AS c FROM lineitem JOIN orders ON l_orderkey = o_orderkey) SELECT x.id AS anchor_id, count(*) AS n FROM a x JOIN a y USING (c) WHERE x.o <> y.o GROUP BY 1",
+        "report_lines": f"SELECT CAST(n.domain = 'derived' AS INTEGER) AS level, n.event_id, n.event_type, n.domain, c.contributors FROM ({NODES1}) n LEFT JOIN (SELECT to_id, string_agg(from_id, ', ' ORDER BY from_id) AS contributors FROM ({EDGES1}) GROUP BY 1) c ON c.to_id = n.event_id",
+        "motif_instances": f"SELECT concat_ws(':', 'd', event_type, domain, grp) AS event_id, ts FROM ({LEVEL1}) WHERE event_type = 'click'",
+        "derive_template_props": f"""WITH b AS (SELECT domain, count(*) AS n FROM ({LEVEL1}) WHERE event_type = 'click' GROUP BY 1)
+            SELECT domain, 'click_burst' AS event_type, 'hot' AS level, n FROM b UNION ALL SELECT domain, 'storm', NULL, n // 3 FROM b WHERE n >= 3""",
+        "fold_edges": f"SELECT CAST(substr(from_id, 3) AS BIGINT) AS event_id FROM ({EDGES1}) WHERE to_id LIKE 'd:click:%'",
+        "derive_custom_rule": f"SELECT event_id, CAST(1 AS INTEGER) AS n_contributors FROM (SELECT *, count(*) FILTER (event_type = 'purchase') OVER (PARTITION BY domain ORDER BY seq) AS p FROM ({EVENTS})) WHERE event_type = 'error' AND p > 0",
         "composition_min_occurrences": f"SELECT derived_id FROM ({pair}) WHERE n0 >= 3 AND n1 >= 2",
     }

@@ -60,12 +60,26 @@ def add_edges(edges: DataFrame, new: DataFrame, events: DataFrame) -> DataFrame:
     return edges.unionByName(new, allowMissingColumns=True)
 
 
-def by_id(events: DataFrame, event_id) -> DataFrame:
-    return events.where(F.col("event_id") == event_id)
-
-
-def by_ids(events: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Events of wanted(position, event_id), in that order, repeats kept."""
+def require(wanted: DataFrame, events: DataFrame, column: str = "event_id") -> None:
+    """Raises ValueError if an id of wanted's column is no event's; for anchors that must be known."""
+    ids = events.select(F.col("event_id").alias("known"))
+    lost = wanted.join(ids, wanted[column].eqNullSafe(ids["known"]), "left_anti").select(column).first()
+    if lost is not None:
+        raise ValueError(f"event not found: {lost[0]}")
+
+
+def by_id(events: DataFrame, event_id, strict: bool = False) -> DataFrame:
+    """The event of an id; an unknown one gives no row, or with `strict` ValueError."""
+    found = events.where(F.col("event_id") == event_id)
+    if strict and found.first() is None:
+        raise ValueError(f"event not found: {event_id}")
+    return found
+
+
+def by_ids(events: DataFrame, wanted: DataFrame, strict: bool = False) -> DataFrame:
+    """Events of wanted(position, event_id), in that order, repeats kept; unknown ids are left out, or with `strict` raise ValueError."""
+    if strict:
+        require(wanted, events)
     return wanted.join(events, "event_id").orderBy("position")
 
 

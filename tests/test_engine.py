@@ -176,23 +176,116 @@ def test_closed_form_equals_fold(spark):
     assert folded == closed
 
 
-def test_stream_equals_batch(spark, tmp_path):
+@pytest.mark.parametrize("batches", [1, 2, 7])
+def test_stream_equals_batch(spark, tmp_path, batches):
     from causeway.streaming.runner import derive_stream
 
-    rows = [(str(i), "a", "x" if i % 3 else "y", T0 + timedelta(seconds=i), i) for i in range(40)]
+    rows = [(str(i), "a", "x" if i % 3 else "y", T0 + timedelta(seconds=i), i) for i in range(42)]
     schema = "event_id string, event_type string, domain string, ts timestamp, seq long"
     rules = [Rule("r", ("a",), Condition().has_peers("a", how_many=2, or_more=True, window=micros(30, "second")), "A", "d")]
-    for part in range(2):
-        spark.createDataFrame(rows[part * 20 : part * 20 + 20], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    watches, compositions = [Watch(1, 2)], [Composition("c", {("A", "d"): 2}, "C", "e", micros(60, "second"))]
+    size = -(-len(rows) // batches)
+    for part in range(batches):
+        spark.createDataFrame(rows[part * size : part * size + size], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = derive_stream(stream, rules, "domain").writeStream.format("memory").queryName("derived_stream").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
+    name = f"derived_stream_{batches}"
+    query = derive_stream(stream, rules, "domain", watches, compositions).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").start()
     query.processAllAvailable()
     query.stop()
-    got = sorted(r["anchor_id"] for r in spark.table("derived_stream").collect())
-    want = sorted(r["anchor_id"] for r in derive.fold(spark.createDataFrame(rows, schema), rules, key="domain").collect())
+    events = spark.createDataFrame(rows, schema)
+    for kind, what in (("derived", "derived"), ("match", "matches"), ("composed", "composed")):
+        got = sorted((r["derived_id"], r["ts"], r["n_contributors"]) for r in spark.table(name).where(f"kind = '{kind}'").collect())
+        batch = derive.fold(events, rules, watches, compositions, key="domain", what=what).collect()
+        # the fold's key stands in the state only, so ids are those of the batch
+        want = sorted((r["derived_id"], r["ts"], len(r["patterns"]) if kind == "composed" else r["n_contributors"]) for r in batch)
+        assert got == want and want
+
+
+def test_listeners(spark, tmp_path):
+    from causeway.streaming.runner import derive_stream, listen
+
+    schema = "event_id string, event_type string, domain string, ts timestamp, seq long"
+    spark.createDataFrame([(str(i), "a", "x", T0 + timedelta(seconds=i), i) for i in range(9)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    rules = [Rule("r", ("a",), peers("a", n=2), "A", "d")]
+    heard = []
+    hear = lambda name: lambda rows, number: heard.append((name, number, rows.count()))
+    out = derive_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), rules, "domain", [Watch(1, 2)])
+    query = listen(out, {"derived": [hear("one"), hear("two")], "match": [hear("match")]}).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.processAllAvailable()
+    query.stop()
+    assert heard == [("one", 0, 3), ("two", 0, 3), ("match", 0, 2)]
+
+
+def test_windowed_peers_by_brute_force():
+    rng = random.Random(5)
+    events = [(str(i), rng.choice("ab"), rng.choice("xy"), rng.randrange(0, 200)) for i in range(300)]
+    rules = [Rule("1", ("a", "b"), peers("a", "b", window=7), "A", "d")]
+    f, free, want = Fold(rules), {}, []
+    for i, (name, t, d, ts) in enumerate(events):
+        f.ingest(name, t, d, ts)
+        free[name] = (t, d, ts)
+        found = [e for kind in "ab" for e, (u, v, x) in free.items() if u == kind and e != name and (u != t or v == d) and abs(x - ts) <= 7]
+        if found:
+            want.append((name, [*found, name]))
+            for e in (*found, name):
+                free.pop(e, None)
+    assert [(x["anchor_id"], x["contributors"]) for x in f.derived] == want and want
+
+
+@pytest.mark.parametrize("window, reset", [(None, False), (5, False), (5, True), (0, False)])
+def test_composition_after_the_fact_equals_fold(spark, window, reset):
+    from causeway.operators import patterns
+
+    rng, ts, rows = random.Random(7), 0, []
+    for i in range(200):
+        ts += rng.choice([0, 0, 1, 3])
+        rows.append((rng.choice("ATX"), "a", T0 + timedelta(seconds=ts), f"m{i}", i))
+    spec = Composition("c", {("A", "a"): 2, ("T", "a"): 1}, "R", "r", None if window is None else window * micros(1, "second"), reset)
+    f, want = Fold([], [], [spec]), []
+    for t, d, when, name, _ in rows:
+        before = len(f.composed)
+        f.compose(spec, {"event_type": t, "domain": d, "ts": int((when - T0) / timedelta(microseconds=1)), "derived_id": name})
+        if len(f.composed) > before:
+            want.append((name, *f.composed[-1]["patterns"]))
+    matches = spark.createDataFrame(rows, "derived_type string, derived_domain string, ts timestamp, derived_id string, o long").repartition(3)
+    got = sorted((tuple(r) for r in patterns.compose(matches, spec, "o").select("derived_id", "p_0", "p_1").collect()), key=lambda r: int(r[0][1:]))
     assert got == want and want
 
 
+def test_peer_counts_equal_pairs(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice("ab"), rng.choice(["x", "y", None]), T0 + timedelta(seconds=rng.randrange(100)), i, rng.choice(["1", "2"]), rng.choice([1, 2])) for i in range(120)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, domain string, ts timestamp, seq long, word string, k int")
+    edges = spark.createDataFrame([(3, 7, "trigger"), (8, 9, "trigger")], "from_id long, to_id long, relation string")
+    anchors = events.withColumnRenamed("event_id", "anchor_id")
+    for window in (None, 0, 4 * micros(1, "second"), 50 * micros(1, "second")):
+        for props in ({}, {"k": 1}, {"word": 1}):
+            term = Condition().has_peers("a", how_many=1, window=window, props=props)
+            ok, found = conditions.evaluate(term, anchors, events, edges)
+            want = {r["anchor_id"]: r["n"] for r in found.groupBy("anchor_id").agg(F.count("*").alias("n")).collect()}
+            assert {r["anchor_id"]: r["n_matched"] for r in ok.where("n_matched <> 0").collect()} == want
+            assert bool(want) == (props != {"word": 1})
+
+
+def test_unknown_ids_and_cycles(spark, infra):
+    from causeway.sources import model
+
+    events, edges = infra
+    wanted = spark.createDataFrame([(0, "c1"), (1, "lost")], "position long, event_id string")
+    assert ids(model.by_ids(events, wanted)) == ["c1"]
+    with pytest.raises(ValueError, match="event not found: lost"):
+        model.by_ids(events, wanted, strict=True)
+    with pytest.raises(ValueError, match="event not found"):
+        model.by_id(events, "lost", strict=True)
+    with pytest.raises(ValueError, match="from/to event not found"):
+        model.add_edges(edges, spark.createDataFrame([("c1", "lost", "manual")], edges.schema), events)
+    circle = spark.createDataFrame([("c1", "c2", "t"), ("c2", "c1", "t")], edges.schema)
+    with pytest.raises(ValueError, match="cycle"):
+        relations.derivation_levels(events.where("event_id in ('c1', 'c2')"), circle)
+
+
 def test_validation_of_all_edges(spark, tmp_path):
     import duckdb
 
@@ -210,6 +303,6 @@ def test_validation_of_all_edges(spark, tmp_path):
     for name, (rows, schema) in tables.items():
         spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
         db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
-    got = {(r["from_id"][:4], r["to_id"]) for r in queries.queries()["add_edge_validation_all"](spark, str(tmp_path)).collect()}
+    got = {(r["from_id"][:4], r["to_id"]) for r in queries.queries()["add_edge_validation"](spark, str(tmp_path)).collect()}
     assert got == {("l:9:", "o:9"), ("o:3", "c:8"), ("c:2", "n:7"), ("n:2", "r:6")}
-    assert {(a[:4], b) for a, b in db.execute(queries.oracle_sql()["add_edge_validation_all"]).fetchall()} == got
+    assert {(a[:4], b) for a, b in db.execute(queries.oracle_sql()["add_edge_validation"]).fetchall()} == got
