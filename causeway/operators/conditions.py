@@ -17,7 +17,7 @@ from causeway.operators import relations
 from causeway.plans.dsl import Condition, Term
 
 
-def _known(pairs: DataFrame, anchors: DataFrame, events: DataFrame) -> DataFrame:
+def known(pairs: DataFrame, anchors: DataFrame, events: DataFrame) -> DataFrame:
     """Pairs with the anchor's and the event's columns."""
     own = anchors.select("anchor_id", F.col("event_type").alias("a_type"), F.unix_micros(F.col("ts").cast("timestamp")).alias("a_at"))
     return pairs.join(own, "anchor_id").join(events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))), "event_id")
@@ -131,15 +131,15 @@ def matched(term: Term, anchors: DataFrame, events: DataFrame, edges: DataFrame)
     ids, o, t = anchors.select("anchor_id"), term.options, term.value
     if term.kind == "child":
         pairs = relations.children(ids, edges).distinct()
-        found = around(_known(pairs, anchors, events).where(F.col("event_type") == t), t, o.window, o.props)
+        found = around(known(pairs, anchors, events).where(F.col("event_type") == t), t, o.window, o.props)
     elif term.kind == "descendants":
-        found = around(_known(relations.ancestors(ids, edges, max(o.depth, 1)).drop("depth"), anchors, events), t, o.window, o.props)
+        found = around(known(relations.ancestors(ids, edges, max(o.depth, 1)).drop("depth"), anchors, events), t, o.window, o.props)
     elif term.kind == "siblings":
-        found = behind(_known(relations.siblings(ids, edges), anchors, events), t, o.window, o.props)
+        found = behind(known(relations.siblings(ids, edges), anchors, events), t, o.window, o.props)
     elif term.kind == "cousin":
-        found = around(_known(relations.cousins(ids, edges, o.depth or 1), anchors, events), t, o.window, o.props)
+        found = around(known(relations.cousins(ids, edges, o.depth or 1), anchors, events), t, o.window, o.props)
     elif term.kind == "peers":
-        found = around(_known(peer_pairs(anchors, events, edges, t, o.window), anchors, events), t, o.window, o.props)
+        found = around(known(peer_pairs(anchors, events, edges, t, o.window), anchors, events), t, o.window, o.props)
     else:
         raise ValueError(f"{term.kind} relates to no events")
     return found.select("anchor_id", "event_id")

@@ -80,6 +80,11 @@ def lineage_stats(derived: DataFrame) -> DataFrame:
     return derived.groupBy("derived_type", "derived_domain", "depth", "sig").agg(F.count("*").alias("n"), F.max("ts").alias("last_seen"))
 
 
+def lineage_stats_of(stats: DataFrame, of: DataFrame) -> DataFrame:
+    """The statistics of the shapes in of(derived_type, derived_domain, depth, sig); no row for one that was never made."""
+    return stats.join(of.distinct(), ["derived_type", "derived_domain", "depth", "sig"])
+
+
 def rule_counts(derived: DataFrame) -> DataFrame:
     return derived.groupBy("derived_type", "derived_domain", "depth", "sig", "rule_id").agg(F.count("*").alias("n"))
 

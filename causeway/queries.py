@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from causeway.functions import fnv
 from causeway.functions.time_units import MICROS, micros
 from causeway.operators import conditions, derive, memory, patterns, relations, report
+from causeway.operators.cache import CachedRelations
 from causeway.plans.dsl import Composition, Condition, Rule, Watch
 from causeway.sources import model
 from causeway.sources.model import table, trade_edges, user_events
@@ -32,6 +34,15 @@ NODES1 = f"""SELECT 'e:' || event_id AS event_id, event_type, domain, ts FROM ({
 EDGES1 = f"""SELECT 'e:' || event_id AS from_id, concat_ws(':', 'd', event_type, domain, grp) AS to_id FROM ({GROUPED}) SEMI JOIN ({LEVEL1}) USING (event_type, domain, grp)"""
 
 
+def _greedy_sql(pool: str, types: str, least: int, micros_: int) -> str:
+    """Events of each pool and domain one after another: an event with so many free ones in reach takes them all, else it is free itself."""
+    return f"""WITH RECURSIVE e AS (SELECT event_id, {pool} AS pool, domain, epoch_us(ts) AS t, row_number() OVER (PARTITION BY {pool}, domain ORDER BY seq) AS rn FROM ({EVENTS}) WHERE event_type IN ({types})),
+        s AS (SELECT DISTINCT pool, domain, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS event_id, CAST([] AS BIGINT[]) AS free, CAST([] AS BIGINT[]) AS hit FROM e
+            UNION ALL SELECT pool, domain, rn, event_id, CASE WHEN len(near) >= {least} THEN list_filter(free, lambda x: abs(x - t) > {micros_}) ELSE list_append(free, t) END, CASE WHEN len(near) >= {least} THEN list_append(near, t) ELSE [] END
+            FROM (SELECT e.*, s.free, list_filter(s.free, lambda x: abs(x - e.t) <= {micros_}) AS near FROM s JOIN e ON e.pool = s.pool AND e.domain = s.domain AND e.rn = s.rn + 1))
+        SELECT pool, domain, rn, CAST(event_id AS VARCHAR) AS anchor_id, list_max(hit) AS ts, CAST(len(hit) AS INTEGER) AS n_contributors FROM s WHERE len(hit) > 0"""
+
+
 def _fnv_sql(data: str, start: str = "14695981039346656037") -> str:
     return f"list_reduce(list_transform(range(0, octet_length({data})), lambda i: CAST(('0x' || hex({data})[2 * i + 1 : 2 * i + 2]) AS UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616, CAST({start} AS UHUGEINT))"
 
@@ -122,6 +133,11 @@ def derivation_levels(s, d):
     return relations.derivation_levels(nodes, edges).groupBy("level").agg(F.count("*").alias("n"))
 
 
+def derivation_levels_trade(s, d):
+    """Levels 0 to 4 of line items, orders, customers, nations and regions."""
+    return relations.derivation_levels(model.trade_events(s, d), trade_edges(s, d))
+
+
 def _anchors(s, d):
     return user_events(s, d).withColumnRenamed("event_id", "anchor_id")
 
@@ -161,6 +177,14 @@ def has_peers_window(s, d):
     return relations.windowed_peer_counts(user_events(s, d), 24 * HOUR, 24 * HOUR)
 
 
+def has_peers_own_type(s, d):
+    """Clicks in no cluster are the peers of clicks of the same user, in a day on either side."""
+    c = Condition().has_peers("click", how_many=2, or_more=True, window=24 * HOUR)
+    nodes, edges = _graph1(s, d)
+    anchors = nodes.where("event_type = 'click'").withColumnRenamed("event_id", "anchor_id")
+    return conditions.evaluate(c, anchors, nodes, edges)[0]
+
+
 def has_peers_cross_type(s, d):
     c = Condition().has_peers("signup", how_many=2, or_more=True, window=HOUR)
     anchors = _anchors(s, d).where("event_type = 'purchase'")
@@ -284,12 +308,27 @@ def sig_derived_k5(s, d):
     return nodes.where("domain = 'derived'").join(sig, "event_id").select("event_type", fnv.hexed(F.col("sig")).alias("sig")).distinct()
 
 
+def sig_derived_deeper(s, d):
+    """Signatures of clusters at depths 2 to 4, once for each shape."""
+    nodes, edges = _graph1(s, d)
+    levels = memory.signatures(nodes, edges, 4)[2:]
+    rows = reduce(DataFrame.union, [sig.withColumn("depth", F.lit(k)) for k, sig in enumerate(levels, 2)])
+    return nodes.where("domain = 'derived'").join(rows, "event_id").select("event_type", "depth", fnv.hexed(F.col("sig")).alias("sig")).distinct()
+
+
 def lineage_stats(s, d):
-    return memory.lineage_stats(_derived_lineage(s, d)).drop("sig").groupBy("derived_type").agg(F.count("*").alias("shapes"), F.sum("n").alias("n"), F.max("last_seen").alias("last_seen"))
+    return memory.lineage_stats(_derived_lineage(s, d))
 
 
 def lineage_rule_counts(s, d):
-    return memory.rule_counts(_derived_lineage(s, d)).groupBy("derived_type", "rule_id").agg(F.sum("n").alias("n"))
+    return memory.rule_counts(_derived_lineage(s, d))
+
+
+def lineage_lookup(s, d):
+    """Statistics of the shape that cluster d:click:user_1:1 has at depth 1."""
+    made = _derived_lineage(s, d)
+    of = made.where("event_id = 'd:click:user_1:1'").select("derived_type", "derived_domain", "depth", "sig")
+    return memory.lineage_stats_of(memory.lineage_stats(made), of).select("derived_type", "depth", "n", "last_seen")
 
 
 def lineage_samples(s, d):
@@ -383,13 +422,34 @@ def derive_custom_rule(s, d):
     return derive.fold(user_events(s, d), [rule], key="domain").select(F.col("anchor_id").cast("long").alias("event_id"), "n_contributors")
 
 
+def motif_key(s, d):
+    nodes, edges = _graph1(s, d)
+    return memory.motif_keys(nodes.where("domain = 'derived'").withColumn("rule_id", F.lit("r")), edges, nodes).select("event_id", "derived_type", "derived_domain", "contributor_sig", "rule_id")
+
+
+def derive_ts_max(s, d):
+    """The fold's time of a derived event is its latest contributor's; an event fires with two free peers or more."""
+    rule = Rule("r", ("view",), Condition().has_peers("view", how_many=2, or_more=True), "views", "derived")
+    return derive.fold(user_events(s, d), [rule], key="domain").select(F.col("anchor_id").cast("long").alias("event_id"), "ts", "n_contributors")
+
+
+def cached_siblings(s, d):
+    """Siblings asked twice of the caching view, the second time from what was written at first, narrowed to clicks."""
+    nodes, edges = _graph1(s, d)
+    view = CachedRelations(nodes, edges)
+    anchors = nodes.select(F.col("event_id").alias("anchor_id"))
+    view.related("siblings", anchors)
+    return view.related("siblings", anchors, "click")
+
+
 NAMES = """get_by_type get_by_id get_by_ids add_edge_validation children parents ancestors contributors_closure siblings cousins_d1 cousins_d2
 peers_count derivation_levels type_and_domain_terms has_child_exact has_descendants has_siblings_window has_cousin has_peers_window
 has_peers_cross_type property_filter and_or_precedence grouping eval_contributors window_units derive_tumbling derive_edges derive_stateless
 derive_two_level derive_windowed_greedy derive_cross_type_pair derive_tumbling_fold watch_fold motif_stats hot_motifs revisions_type revisions_in
 revisions_out revision_global sig0 sig_leaf_k sig_derived_k1 sig_derived_k5 lineage_stats lineage_rule_counts lineage_samples watch_repeated watch_min1
 watch_spec_filter composition_no_window composition_windowed composition_min_occurrences
-has_child_or_more cousins_without_siblings report_lines motif_instances derive_template_props fold_edges derive_custom_rule""".split()
+has_child_or_more cousins_without_siblings report_lines motif_instances derive_template_props fold_edges derive_custom_rule
+derivation_levels_trade has_peers_own_type sig_derived_deeper lineage_lookup motif_key derive_ts_max cached_siblings""".split()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -414,6 +474,17 @@ def oracle_sql() -> dict[str, str]:
     kinds = f"SELECT DISTINCT event_type, domain FROM ({EVENTS})"
     leaf = f"SELECT event_type, domain, {base('event_type', 'domain')} AS b FROM ({kinds})"
     clusters1 = f"SELECT d.event_id, l.event_type, l.domain, {base('d.event_type', 'd.domain')} AS own, {base('l.event_type', 'l.domain')} AS leaf FROM (SELECT concat_ws(':', 'd', event_type, domain, grp) AS event_id, event_type || '_cluster' AS event_type, 'derived' AS domain, event_type AS e, domain AS m FROM ({LEVEL1})) d JOIN ({kinds}) l ON l.event_type = d.e AND l.domain = d.m"
+    shape = lambda k: fold([eight(f"CAST({k} AS UHUGEINT)"), eight("own"), *[f"list_transform(range(0, 8), lambda i: CAST((below // CAST(pow(256, i) AS UHUGEINT)) % 256 AS UHUGEINT))"] * 3])
+    below = lambda k: "leaf" if k == 1 else fold([eight(f"CAST({k - 1} AS UHUGEINT)"), eight("leaf")])
+    shapes = f"SELECT event_type AS e, domain AS m, {base("event_type || '_cluster'", "'derived'")} AS own, {base('event_type', 'domain')} AS leaf FROM (SELECT DISTINCT event_type, domain FROM ({LEVEL1}))"
+    deep = lambda k: f"SELECT e, m, {k} AS depth, {hexed(shape(k))} AS sig FROM (SELECT *, {below(k)} AS below FROM ({shapes}))"
+    stats1 = f"SELECT event_type || '_cluster' AS derived_type, 'derived' AS derived_domain, 1 AS depth, sig, count(*) AS n, max(ts) AS last_seen FROM ({LEVEL1}) l JOIN ({deep(1)}) k ON k.e = l.event_type AND k.m = l.domain GROUP BY ALL"
+    bursts = _greedy_sql("event_type", "'click', 'error', 'purchase', 'signup', 'view'", 2, 72 * HOUR)
+    named = lambda rule: f"substr(sha256({rule} || '|' || anchor_id || '|' || anchor_id || '|1'), 1, 32)"
+    place = "(list_position(['click', 'error', 'purchase', 'signup', 'view'], pool) - 1) || '/' || domain"
+    copies = f"flatten(list_transform(range(0, n_contributors), lambda j: {eight('leaf')}))"
+    burst_shapes = f"""SELECT pool, domain, n_contributors, {hexed(fold([eight('CAST(1 AS UHUGEINT)'), eight('own'), copies]))} AS sig
+        FROM (SELECT *, {base("pool || '_burst'", "'derived'")} AS own, {base('pool', 'domain')} AS leaf FROM (SELECT DISTINCT pool, domain, n_contributors FROM ({bursts})))"""
     return {
         "get_by_type": f"SELECT event_id, event_type, domain, ts FROM ({EVENTS}) WHERE event_type = 'purchase'",
         "get_by_id": f"SELECT event_id, event_type, domain FROM ({EVENTS}) WHERE event_id = 7",
@@ -460,8 +531,28 @@ def oracle_sql() -> dict[str, str]:
         "sig0": f"SELECT event_type, domain, {hexed('b')} AS sig FROM ({leaf})",
         "sig_leaf_k": f"SELECT event_type, domain, depth, {hexed('s')} AS sig FROM (SELECT event_type, domain, depth, {fold([eight('CAST(depth AS UHUGEINT)'), eight('b')])} AS s FROM ({leaf}), (SELECT unnest(range(1, 6)) AS depth))",
         "sig_derived_k1": f"SELECT event_id, {hexed('s')} AS sig FROM (SELECT event_id, {fold([eight('CAST(1 AS UHUGEINT)'), eight('own'), eight('leaf'), eight('leaf'), eight('leaf')])} AS s FROM ({clusters1}))",
-        "lineage_stats": f"SELECT event_type || '_cluster' AS derived_type, count(DISTINCT domain) AS shapes, CAST(count(*) AS BIGINT) AS n, max(ts) AS last_seen FROM ({LEVEL1}) GROUP BY 1",
-        "lineage_rule_counts": f"SELECT event_type || '_cluster' AS derived_type, 'r' AS rule_id, CAST(count(*) AS BIGINT) AS n FROM ({LEVEL1}) GROUP BY 1",
+        "lineage_stats": stats1,
+        "lineage_rule_counts": f"SELECT derived_type, derived_domain, depth, sig, 'r' AS rule_id, n FROM ({stats1})",
+        "lineage_lookup": f"SELECT 'click_cluster' AS derived_type, 1 AS depth, count(*) AS n, max(ts) AS last_seen FROM ({LEVEL1}) WHERE event_type = 'click' AND domain = 'user_1' HAVING count(*) > 0",
+        "sig_derived_k5": f"SELECT DISTINCT e || '_cluster' AS event_type, sig FROM ({deep(5)})",
+        "sig_derived_deeper": " UNION ".join(f"SELECT e || '_cluster' AS event_type, depth, sig FROM ({deep(k)})" for k in (2, 3, 4)),
+        "derive_windowed_greedy": f"""SELECT {place} AS grp, {named("'r_' || pool")} AS derived_id, 'r_' || pool AS rule_id, pool || '_burst' AS event_type, 'derived' AS domain, ts,
+            anchor_id AS root_id, 1 AS place, anchor_id, n_contributors FROM ({bursts})""",
+        "derive_cross_type_pair": f"""SELECT '0/' || domain AS grp, {named("'pair'")} AS derived_id, 'pair' AS rule_id, 'failed_sale' AS event_type, 'derived' AS domain, ts,
+            anchor_id AS root_id, 1 AS place, anchor_id, n_contributors FROM ({_greedy_sql("'pair'", "'purchase', 'error'", 1, 24 * HOUR)})""",
+        "watch_fold": f"""SELECT * FROM (SELECT {place} AS grp, pool || '_burst' AS event_type, 'derived' AS domain, 1 AS depth, sig, row_number() OVER (PARTITION BY pool, domain, n_contributors ORDER BY rn) AS occurrence, ts,
+            {named("'r_' || pool")} AS derived_id, 'r_' || pool AS rule_id, n_contributors FROM ({bursts}) JOIN ({burst_shapes}) USING (pool, domain, n_contributors)) WHERE occurrence >= 2""",
+        "derivation_levels_trade": f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS up, CAST(o_orderkey IN (SELECT l_orderkey FROM lineitem) AS INTEGER) AS level FROM orders),
+                c AS (SELECT c_custkey AS k, c_nationkey AS up, coalesce((SELECT max(level) + 1 FROM o WHERE o.up = c_custkey), 0) AS level FROM customer),
+                n AS (SELECT n_nationkey AS k, n_regionkey AS up, coalesce((SELECT max(level) + 1 FROM c WHERE c.up = n_nationkey), 0) AS level FROM nation)
+            SELECT DISTINCT {LINE} AS event_id, 0 AS level FROM lineitem UNION ALL SELECT DISTINCT 'o:' || k, level FROM o UNION ALL SELECT 'c:' || k, level FROM c UNION ALL SELECT 'n:' || k, level FROM n
+            UNION ALL SELECT 'r:' || r_regionkey, coalesce((SELECT max(level) + 1 FROM n WHERE n.up = r_regionkey), 0) FROM region""",
+        "has_peers_own_type": f"""WITH n AS (SELECT * FROM ({NODES1}) WHERE event_type = 'click'), f AS (SELECT * FROM n WHERE event_id NOT IN (SELECT from_id FROM ({EDGES1})))
+            SELECT n.event_id AS anchor_id, count(f.event_id) >= 2 AS ok, count(f.event_id) AS n_matched FROM n
+            LEFT JOIN f ON f.domain = n.domain AND f.event_id <> n.event_id AND f.ts BETWEEN n.ts - INTERVAL 24 HOUR AND n.ts + INTERVAL 24 HOUR GROUP BY 1""",
+        "motif_key": f"SELECT concat_ws(':', 'd', event_type, domain, grp) AS event_id, event_type || '_cluster' AS derived_type, 'derived' AS derived_domain, concat_ws('|', event_type, event_type, event_type) AS contributor_sig, 'r' AS rule_id FROM ({LEVEL1})",
+        "derive_ts_max": f"SELECT fired_seq AS event_id, epoch_us(ts) AS ts, CAST(n_contributors AS INTEGER) AS n_contributors FROM ({LEVEL1}) WHERE event_type = 'view'",
+        "cached_siblings": f"SELECT k.anchor_id, k.event_id FROM ({kin}) k JOIN ({NODES1}) n ON n.event_id = k.event_id WHERE n.event_type = 'click'",
         "lineage_samples": f"""SELECT event_type || '_cluster' AS derived_type, event_id, place FROM (SELECT event_type, concat_ws(':', 'd', event_type, domain, grp) AS event_id,
             row_number() OVER (PARTITION BY event_type, domain ORDER BY ts, concat_ws(':', 'd', event_type, domain, grp)) AS place FROM ({LEVEL1})) WHERE place <= 20""",
         "watch_repeated": f"SELECT derived_id, occurrence FROM ({watched}) WHERE occurrence >= 2",

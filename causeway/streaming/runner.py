@@ -44,9 +44,10 @@ def derive_stream(events: DataFrame, rules: list[Rule], key: str, watches: list[
     return rows.groupBy("grp").applyInPandasWithState(run, OUT, "fold binary", "append", "NoTimeout")
 
 
-def listen(stream: DataFrame, listeners: Mapping[str, Sequence[Callable[[DataFrame, int], None]]]):
+def listen(stream: DataFrame, listeners: Mapping[str, Sequence[Callable[[DataFrame, int], None] | None]]):
     """A writer that hands each micro-batch's rows of a kind to that kind's listeners, one after another, with the batch's number.
 
+    Kinds and their listeners are taken in the order given; a listener that is None is passed over.
     A batch may come again after a failure, as in any foreachBatch; an error of a listener stops the query.
     """
 
@@ -54,7 +55,7 @@ def listen(stream: DataFrame, listeners: Mapping[str, Sequence[Callable[[DataFra
         held = batch.persist()
         try:
             for kind, heard_by in listeners.items():
-                for listener in heard_by:
+                for listener in filter(None, heard_by):
                     listener(held.where(F.col("kind") == kind), number)
         finally:
             held.unpersist()

@@ -306,3 +306,65 @@ def test_validation_of_all_edges(spark, tmp_path):
     got = {(r["from_id"][:4], r["to_id"]) for r in queries.queries()["add_edge_validation"](spark, str(tmp_path)).collect()}
     assert got == {("l:9:", "o:9"), ("o:3", "c:8"), ("c:2", "n:7"), ("n:2", "r:6")}
     assert {(a[:4], b) for a, b in db.execute(queries.oracle_sql()["add_edge_validation"]).fetchall()} == got
+
+
+def test_cached_relations(spark, infra):
+    from causeway.operators.cache import CachedRelations
+    from causeway.plans.dsl import Options
+
+    events, edges = infra
+    a = lambda *x: spark.createDataFrame([(i,) for i in x], "anchor_id string")
+    view, both = CachedRelations(events, edges), a("c1", "CC")
+    first = view.related("siblings", both)
+    assert ids(first) == ["MC", "c2", "c3"] and view.related("siblings", both) is first
+    assert ids(view.related("siblings", both, "cpu")) == ["c2", "c3"]
+    assert ids(view.related("children", a("CC"), "", Options(props={"level": "critical"}))) == ["c1", "c2", "c3"]
+    assert ids(view.related("children", a("MC"), "cpu")) == []
+    assert ids(view.related("parents", a("c1"))) == ["CC"] and ids(view.related("peers", a("c1"))) == []
+    assert ids(view.related("ancestors", a("c1"), options=Options(depth=2))) == ["CC", "SN"]
+    assert len(ids(view.related("descendants", a("SN"), options=Options(depth=2)))) == 8
+    assert ids(view.related("cousins", a("CC"))) == ["MC"] and ids(view.related("children", a("lost"))) == []
+    with pytest.raises(ValueError, match="from/to event not found"):
+        view.add_edges(spark.createDataFrame([("c9", "CC", "manual")], edges.schema))
+    assert view.related("siblings", both) is not None and view.revision == 0
+    view.add_event(spark.createDataFrame([("c9", "cpu", "infra", T0, 99, None)], events.schema))
+    view.add_edges(spark.createDataFrame([("c9", "CC", "manual")], edges.schema))
+    assert ids(view.related("siblings", both)) == ["MC", "c2", "c3", "c9"] and view.revision == 2
+
+
+def test_corpus_part_is_optional(monkeypatch):
+    import importlib
+
+    import __spark_entry__ as entry
+    from causeway import queries
+
+    def without(missing):
+        def load(name, real=importlib.import_module):
+            if name in ("causeway.llm.queries", "corpus_pipeline"):
+                raise ModuleNotFoundError(f"No module named '{missing}'", name=missing)
+            return real(name)
+
+        monkeypatch.setattr(entry.importlib, "import_module", load)
+
+    without("causeway.llm")
+    assert set(entry.queries()) == set(queries.queries()) and set(entry.oracle_sql()) == set(queries.oracle_sql())
+    without("somelib")
+    with pytest.warns(UserWarning, match="somelib"):
+        assert set(entry.queries()) == set(queries.queries())
+
+
+def test_greedy_sql_equals_fold(spark, tmp_path):
+    import duckdb
+
+    from causeway import queries
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["click", "error", "purchase", "view"]), rng.randrange(3), T0 + timedelta(hours=rng.randrange(900)), 1.0, '{"k": 1}') for i in range(400)]
+    spark.createDataFrame(rows, "event_id long, event_type string, user_id long, ts timestamp, value double, props string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    db = duckdb.connect()
+    db.execute(f"SET TimeZone = 'UTC'; CREATE VIEW events AS SELECT * REPLACE (CAST(ts AS TIMESTAMP) AS ts) FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    for name in ("derive_windowed_greedy", "derive_cross_type_pair", "watch_fold"):
+        got = queries.queries()[name](spark, str(tmp_path))
+        columns = sorted(got.columns)
+        want = db.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+        assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want) and want
