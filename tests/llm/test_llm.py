@@ -662,3 +662,21 @@ def test_pipeline_drops_by_row(spark, tmp_path):
     spark.createDataFrame([(0, say(510, 540)), (1, say(710, 740))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     left = corpus_pipeline.benchmark_leaks(spark, docs, str(tmp_path)).collect()
     assert sorted(((r["doc_id"], r["text"]) for r in left), key=str) == sorted((r for r in rows if r[1] not in (say(500, 560), say(700, 760))), key=str)
+
+
+def test_decontamination_sql_equals_query(spark, tmp_path):
+    import duckdb
+
+    from causeway.llm import queries
+
+    rng = random.Random(11)
+    text = lambda n: " ".join(rng.choice("abcdef") * rng.randint(1, 2) for _ in range(n))
+    items = [(f"i{i}", text(n)) for i, n in enumerate([0, 1, 2, 3, 4, 5, 6, 9, 12, 30, 41])] + [("none", None)]
+    docs = [(i, text(rng.randint(0, 60)) + rng.choice(["", " " + (rng.choice(items)[1] or "")])) for i in range(80)] + [(900, None), (901, "")]
+    db = duckdb.connect()
+    for name, rows, schema in (("documents", docs, "doc_id long, text string"), ("benchmark", items, "item_id string, text string")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / f"{name}.parquet"))
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    found = queries.op9_decontamination(spark, str(tmp_path)).select("doc_id", "item_id", "n_item", "n_shared")
+    want = db.execute(f"SELECT doc_id, item_id, n_item, n_shared FROM ({queries.oracle_sql()['op9_decontamination']})").fetchall()
+    assert sorted(map(tuple, found.collect())) == sorted(want) and {"i1", "i3", "i10"} <= {x[1] for x in want}
