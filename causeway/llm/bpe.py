@@ -28,7 +28,7 @@ from causeway.runtime import lean, ship
 #: The pre-tokenisation pattern of byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Text bytes of one block, distinct segments in one generation of a worker's cache, and pairs of tokens whose merging is remembered.
-BLOCK, CACHE, PAIRS = 2 << 20, 80_000, 400_000
+BLOCK, CACHE, PAIRS = 2 << 20, 250_000, 400_000
 NEVER = 1 << 60
 
 
