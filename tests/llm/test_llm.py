@@ -590,6 +590,40 @@ def test_quality_query_equals_brute_force(spark):
     assert quality.rank(docs.limit(0), model).count() == 0
 
 
+def test_quality_fit_takes_every_row_and_pair(spark, monkeypatch):
+    """Thousands of rows, texts beyond 64 KiB, empty and missing ones: all rows and all pairs count, wherever the steps begin."""
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 12))) for _ in range(8_200)]
+    texts[11], texts[12], texts[13], texts[14] = "w1 " * 30_000, "", None, "w2 |! " * 20_000
+    good = [int(rng.random() < (0.7 if " w1" in (t or "") else 0.4)) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame(list(enumerate(good)), "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    taken = [i for i in range(len(texts)) if crc32(str(i).encode()) % 5]
+    assert len(taken) > 6_000 and {11, 12, 13, 14} & set(taken)
+    x, y = quality.features(*textbatch.buffers(pa.array([texts[i] for i in taken]))), np.array([good[i] for i in taken])
+    assert np.abs(model.mean - x.mean(0)).max() < 1e-9 and np.abs(model.scale - np.maximum(x.std(0), 1e-6)).max() < 1e-9
+    z = np.clip((x - model.mean) / model.scale, -8, 8)
+    z = np.column_stack([z, z[:, : len(quality.FEATURES)] ** 2])
+    raw = z @ model.weights
+    against = -1 / (1 + np.exp(raw[y == 1][:, None] - raw[y == 0]))
+    penalty = np.full(z.shape[1], quality.L2)
+    penalty[len(quality.FEATURES) : x.shape[1]] = quality.L2_LEXICAL
+    gradient = (against.sum(1) @ z[y == 1] - against.sum(0) @ z[y == 0]) / against.size + penalty * model.weights
+    assert np.abs(gradient).max() < 1e-6 and np.abs(model.weights).max() > 0.05
+    assert model.cut == pytest.approx(np.quantile(raw, (y == 0).mean()), abs=1e-9) and model.spread == pytest.approx(raw.std() / 2, abs=1e-9)
+    monkeypatch.setattr(quality, "START_ROWS", 40)
+    other = quality.fit(docs.repartition(3), labels)
+    assert np.abs(other.weights - model.weights).max() < 1e-7 and other.cut == pytest.approx(model.cut, abs=1e-6)
+
+
+def test_quality_quantile_is_exact(spark):
+    rng = np.random.default_rng(4)
+    for values, share in ((rng.normal(size=500), 0.013), (rng.integers(-3, 3, 300).astype(float), 0.77), (np.zeros(7), 0.0), (np.array([2.5]), 1.0), (np.array([-1e300, -1e-300, 0.0, 1e-300, 7.0]), 0.3)):
+        scores = spark.createDataFrame([(int(x),) for x in quality._sortable(values.view(np.int64))], "at long")
+        assert quality._quantile(scores, share, len(values)) == pytest.approx(np.quantile(values, share), rel=1e-12)
+
+
 def test_odd_tables_and_clashing_names(spark):
     """Extra columns with the names that the operators use, repeated rows and ids, missing ids: every row gets its values."""
     names = "__null row own none o t digest salt n m sig node tokens lang toxic good x at score count hits item_id w h k size cluster".split()
