@@ -368,3 +368,106 @@ def test_greedy_sql_equals_fold(spark, tmp_path):
         columns = sorted(got.columns)
         want = db.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
         assert sorted(map(tuple, got.select(*columns).collect())) == sorted(want) and want
+
+
+def moved(spark, run):
+    """Rows that run() shuffles or writes."""
+    context = spark.sparkContext._jsc.sc()
+    sides = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def total():
+        context.listenerBus().waitUntilEmpty()
+        stages = context.statusStore().stageList(None, False, False, sides, spark.sparkContext._jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() + s.outputRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = total()
+    run()
+    return sum(n for k, n in total().items() if k not in before)
+
+
+def as_edges(spark, pairs):
+    return spark.createDataFrame([(a, b, "t") for a, b in pairs], "from_id string, to_id string, relation string").cache()
+
+
+def as_anchors(spark, names):
+    return spark.createDataFrame([(x,) for x in names], "anchor_id string").cache()
+
+
+@pytest.fixture(scope="module")
+def star(spark):
+    """150 line items of 3 orders of one customer, whose nation and region follow."""
+    lines = [f"l{i}" for i in range(150)]
+    return as_anchors(spark, lines), as_edges(spark, [*[(x, f"o{i % 3}") for i, x in enumerate(lines)], *[(f"o{i}", "c") for i in range(3)], ("c", "n"), ("n", "r")])
+
+
+def trade_folder(tmp_path, orders, lines):
+    """Tables orders (key, customer) and lineitem (order), with customers, a nation and a region, as DuckDB views too."""
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute("SET TimeZone = 'UTC'")
+    rows = lambda r: ", ".join(map(str, r))
+    made = {
+        "orders": f"SELECT o_orderkey::BIGINT AS o_orderkey, o_custkey::BIGINT AS o_custkey FROM (VALUES {rows(orders)}) t(o_orderkey, o_custkey)",
+        "lineitem": f"SELECT k::BIGINT AS l_orderkey, i::INTEGER AS l_linenumber, i::BIGINT AS l_partkey, i::BIGINT AS l_suppkey, TIMESTAMP '2000-01-01' AS l_shipdate FROM (VALUES {rows(enumerate(lines))}) t(i, k)",
+        "customer": f"SELECT DISTINCT c::BIGINT AS c_custkey, 1 AS c_nationkey FROM (VALUES {', '.join(f'({c})' for _, c in orders)}) t(c)",
+        "nation": "SELECT 1 AS n_nationkey, 0 AS n_regionkey",
+        "region": "SELECT 0 AS r_regionkey",
+    }
+    for name, sql in made.items():
+        db.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    return db
+
+
+def agrees(spark, db, folder, name):
+    """A query's rows, after they were found to be those of its SQL."""
+    from causeway import queries
+
+    got = queries.queries()[name](spark, str(folder))
+    columns = sorted(got.columns)
+    key = lambda row: [(x is None, x) for x in row]
+    rows = sorted(map(tuple, got.select(*columns).collect()), key=key)
+    assert rows == sorted(db.execute(f"SELECT {', '.join(columns)} FROM ({queries.oracle_sql()[name]})").fetchall(), key=key)
+    return rows
+
+
+def test_kin_by_brute_force(spark):
+    up = lambda s, e: {b for a, b in e if a in s}
+    down = lambda s, e: {a for a, b in e if b in s}
+
+    def levels(a, e, depth):
+        seen, front, out = {a}, {a}, []
+        for _ in range(depth):
+            front = up(front, e) - seen
+            seen |= front
+            out.append(front)
+        return out
+
+    def cousins(a, e, depth):
+        out = set()
+        for i, level in enumerate(levels(a, e, depth)):
+            for _ in range(i + 1):
+                level = down(level, e)
+            out |= level
+        return out - {a}
+
+    rng, names = random.Random(5), [f"e{i}" for i in range(14)]
+    for kind, depth in (("forest", 2), ("forks", 3), ("cycles", 2)):
+        pairs = [(x, rng.choice(names[i + 1 :])) for i, x in enumerate(names[:-1]) if rng.random() < 0.9]
+        pairs += {"forest": [], "forks": [("e1", "e9"), ("e0", "e12"), *pairs[:2]], "cycles": [("e13", "e2"), ("e5", "e5"), ("e4", "e3")]}[kind]
+        edges, anchors, e, asked = as_edges(spark, pairs), as_anchors(spark, [*names, "e3", "nobody"]), set(pairs), [*names, "nobody"]
+        rows = lambda df: sorted(map(tuple, df.collect()))
+        assert rows(relations.ancestors(anchors, edges, depth)) == sorted((a, x, i + 1) for a in asked for i, level in enumerate(levels(a, e, depth)) for x in level)
+        assert rows(relations.ancestor_levels(anchors, edges, depth)) == sorted((a, i + 1, len(level), max(level)) for a in asked for i, level in enumerate(levels(a, e, depth)) if level)
+        siblings = {a: down(up({a}, e), e) - {a} for a in asked}
+        assert rows(relations.siblings(anchors, edges)) == sorted((a, x) for a in asked for x in siblings[a])
+        for without in (False, True):
+            kin = {a: cousins(a, e, depth) - (siblings[a] if without else set()) for a in asked}
+            assert rows(relations.cousin_counts(anchors, edges, depth, without)) == sorted((a, len(x)) for a, x in kin.items() if x)
+
+
+@pytest.mark.parametrize("name", ["cousins_d2"])
+def test_cousins_are_counted_without_pairs(spark, tmp_path, name):
+    db = trade_folder(tmp_path, [(k, k % 2) for k in range(6)], [i % 6 for i in range(300)])
+    assert moved(spark, lambda: agrees(spark, db, tmp_path, name)) < 12 * 300
