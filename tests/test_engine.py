@@ -471,3 +471,8 @@ def test_kin_by_brute_force(spark):
 def test_cousins_are_counted_without_pairs(spark, tmp_path, name):
     db = trade_folder(tmp_path, [(k, k % 2) for k in range(6)], [i % 6 for i in range(300)])
     assert moved(spark, lambda: agrees(spark, db, tmp_path, name)) < 12 * 300
+
+
+def test_ancestors_are_not_shuffled_by_level(spark, tmp_path):
+    db = trade_folder(tmp_path, [(k, k % 2) for k in range(6)], [i % 6 for i in range(300)])
+    assert moved(spark, lambda: agrees(spark, db, tmp_path, "ancestors")) < 8 * 300
