@@ -473,6 +473,11 @@ def test_cousins_are_counted_without_pairs(spark, tmp_path, name):
     assert moved(spark, lambda: agrees(spark, db, tmp_path, name)) < 12 * 300
 
 
+def test_siblings_are_not_shuffled_as_pairs(spark, star):
+    assert relations.siblings(*star).count() == 150 * 49
+    assert moved(spark, lambda: relations.siblings(*star).write.format("noop").mode("overwrite").save()) < 10 * 150
+
+
 def test_ancestors_are_not_shuffled_by_level(spark, tmp_path):
     db = trade_folder(tmp_path, [(k, k % 2) for k in range(6)], [i % 6 for i in range(300)])
     assert moved(spark, lambda: agrees(spark, db, tmp_path, "ancestors")) < 8 * 300
