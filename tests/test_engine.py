@@ -467,7 +467,7 @@ def test_kin_by_brute_force(spark):
             assert rows(relations.cousin_counts(anchors, edges, depth, without)) == sorted((a, len(x)) for a, x in kin.items() if x)
 
 
-@pytest.mark.parametrize("name", ["cousins_d2", "cousins_without_siblings"])
+@pytest.mark.parametrize("name", ["cousins_d1", "cousins_d2", "cousins_without_siblings"])
 def test_cousins_are_counted_without_pairs(spark, tmp_path, name):
     db = trade_folder(tmp_path, [(k, k % 2) for k in range(6)], [i % 6 for i in range(300)])
     assert moved(spark, lambda: agrees(spark, db, tmp_path, name)) < 12 * 300
