@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from causeway.operators.conditions import truth
 from causeway.operators.fold import Fold
 from causeway.plans.dsl import Composition, Rule, Watch
-from causeway.runtime import ship
+from causeway.runtime import lean, ship
 
+#: Rows of one Arrow batch that a fold hands back.
+BATCH = 4096
 DERIVED = "grp string, derived_id string, rule_id string, event_type string, domain string, ts long, root_id string, place int, anchor_id string, n_contributors int, props string, contributors array<string>"
 
 
@@ -64,24 +68,8 @@ def fold(events: DataFrame, rules: list[Rule], watches: list[Watch] = (), compos
         raise ValueError("no rules")
     cluster = F.lit(0) if len(parts) == 1 and any(r.process for r in rules) else F.coalesce(*[F.when(F.col("event_type") == t, F.lit(i)) for t, i in of.items()])
     rows = events.select(F.concat_ws("/", cluster.cast("string"), F.col(key).cast("string") if key else F.lit("")).alias("grp"), cluster.alias("cluster"), F.col("event_id").cast("string"), "event_type", "domain", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "seq", *props).where("cluster is not null")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        state = Fold(parts[int(frame["cluster"].iloc[0])], list(watches), list(compositions))
-        for r in frame.sort_values("seq", kind="stable").to_dict("records"):
-            state.ingest(r["event_id"], r["event_type"], r["domain"], int(r["ts"]), {p: r[p] for p in props})
-        if what == "edges":
-            made = [{"from_id": c, "to_id": d["derived_id"], "relation": "trigger"} for d in state.derived for c in d["contributors"]]
-            made += [{"from_id": c, "to_id": d["derived_id"], "relation": "pattern_composition"} for d in state.composed for c in d["patterns"] if c in state.events]
-        elif what == "events":
-            made = [{**d, "event_id": d["derived_id"]} for d in (*state.derived, *state.composed)]
-            made = [{c: d[c] for c in ("event_id", "event_type", "domain", "ts", "props")} for d in made]
-        else:
-            made = {"derived": state.derived, "matches": state.matches, "composed": state.composed}[what]
-        out = [{"grp": frame["grp"].iloc[0], **d, **({"n_contributors": len(d["contributors"])} if "contributors" in d else {})} for d in made]
-        for d in out:
-            if "sig" in d:
-                d["sig"] = f"{d['sig']:016x}"
-        return pd.DataFrame(out, columns=names)
+    # a group costs far more than its bytes tell, so the number of partitions is named, else small ones would be put together
+    rows = rows.repartition(int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")), "grp").sortWithinPartitions("grp", "seq")
 
     schema = {
         "derived": DERIVED,
@@ -90,5 +78,40 @@ def fold(events: DataFrame, rules: list[Rule], watches: list[Watch] = (), compos
         "events": "grp string, event_id string, event_type string, domain string, ts long, props string",
         "edges": "grp string, from_id string, to_id string, relation string",
     }[what]
-    names = [c.split()[0] for c in schema.split(", ")]
-    return rows.groupBy("grp").applyInPandas(run, schema)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def made(grp: str, state: Fold) -> list[dict]:
+        if what == "edges":
+            out = [{"from_id": c, "to_id": d["derived_id"], "relation": "trigger"} for d in state.derived for c in d["contributors"]]
+            out += [{"from_id": c, "to_id": d["derived_id"], "relation": "pattern_composition"} for d in state.composed for c in d["patterns"] if c in state.events]
+        elif what == "events":
+            out = [{**d, "event_id": d["derived_id"]} for d in (*state.derived, *state.composed)]
+        else:
+            out = {"derived": state.derived, "matches": state.matches, "composed": state.composed}[what]
+        for d in out:
+            d["grp"] = grp
+            if "contributors" in d:
+                d["n_contributors"] = len(d["contributors"])
+            if "sig" in d:
+                d["sig"] = f"{d['sig']:016x}"
+        return out
+
+    def run(batches):
+        """The groups of a partition, one after another, as their rows come."""
+        state, grp, out = None, None, []
+        for batch in batches:
+            for g, cluster, event_id, event_type, domain, ts, *held in zip(*batch.to_pydict().values(), strict=True):
+                if g != grp:
+                    if state is not None:
+                        out += made(grp, state)
+                    grp, state = g, Fold(parts[cluster], watches, compositions)
+                    for i in range(0, len(out) - BATCH + 1, BATCH):
+                        yield pa.RecordBatch.from_pylist(out[i : i + BATCH], arrow)
+                    out = out[len(out) // BATCH * BATCH :]
+                state.ingest(event_id, event_type, domain, ts, dict(zip(props, held, strict=True)))
+        if state is not None:
+            out += made(grp, state)
+        for i in range(0, len(out), BATCH):
+            yield pa.RecordBatch.from_pylist(out[i : i + BATCH], arrow)
+
+    return rows.select("grp", "cluster", "event_id", "event_type", "domain", "ts", *props).mapInArrow(lean(run), schema)

@@ -481,3 +481,23 @@ def test_siblings_are_not_shuffled_as_pairs(spark, star):
 def test_ancestors_are_not_shuffled_by_level(spark, tmp_path):
     db = trade_folder(tmp_path, [(k, k % 2) for k in range(6)], [i % 6 for i in range(300)])
     assert moved(spark, lambda: agrees(spark, db, tmp_path, "ancestors")) < 8 * 300
+
+
+def test_fold_deals_groups_out(spark):
+    """Small groups aren't put into one task for their few bytes, and a group's rows may come in several batches."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, "a", f"d{i % 40}", T0 + timedelta(minutes=i), i) for i in range(400)]
+    events = spark.createDataFrame(rows, "event_id long, event_type string, domain string, ts timestamp, seq long")
+    rule = Rule("r", ("a",), Condition().has_peers("a", how_many=2), "b", "derived")
+    made = derive.fold(events, [rule], key="domain")
+    assert made.select(F.spark_partition_id()).distinct().count() == 4
+    read = lambda: sorted((r["grp"], r["anchor_id"], r["n_contributors"], *r["contributors"]) for r in made.collect())
+    whole = read()
+    name, held = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set(name, "7")
+    try:
+        assert read() == whole and len(whole) == 40 * 3
+    finally:
+        spark.conf.set(name, held)
+    assert all(n == 3 and anchor == last for _, anchor, n, *_, last in whole)
