@@ -501,3 +501,12 @@ def test_fold_deals_groups_out(spark):
     finally:
         spark.conf.set(name, held)
     assert all(n == 3 and anchor == last for _, anchor, n, *_, last in whole)
+
+
+def test_closure_of_orders_without_lines_as_in_sql(spark, tmp_path):
+    db = trade_folder(tmp_path, [(0, 7), (1, 7), (2, 8), (3, 9), (4, 9)], [0, 0, 3, 4, 4])
+    assert agrees(spark, db, tmp_path, "contributors_closure") == [("c:7", 4), ("c:8", None), ("c:9", 5)]
+    # the operator itself leaves no order out
+    from causeway.sources.model import trade_edges
+
+    assert ids(relations.contributors_closure(as_anchors(spark, ["c:8"]), trade_edges(spark, str(tmp_path)), 2)) == ["o:2"]
