@@ -510,3 +510,22 @@ def test_closure_of_orders_without_lines_as_in_sql(spark, tmp_path):
     from causeway.sources.model import trade_edges
 
     assert ids(relations.contributors_closure(as_anchors(spark, ["c:8"]), trade_edges(spark, str(tmp_path)), 2)) == ["o:2"]
+
+
+def test_levels_look_again_only_at_what_is_left(spark, tmp_path):
+    db = trade_folder(tmp_path, [(k, k % 2) for k in range(6)], [i % 5 for i in range(300)])
+    assert moved(spark, lambda: agrees(spark, db, tmp_path, "derivation_levels_trade")) < 8 * 300
+
+
+def test_levels_by_brute_force(spark):
+    rng, names = random.Random(8), [f"e{i}" for i in range(16)]
+    for share in (0.0, 0.1, 0.5):
+        pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < share]
+        known, level = set(names) - {"e3", "e8"}, {}
+        for b in names:
+            level[b] = max([level[a] + 1 for a, c in pairs if c == b and a in known], default=0)
+        edges, events = as_edges(spark, [*pairs, *pairs[:3]]), as_anchors(spark, [*known, "e1"]).withColumnRenamed("anchor_id", "event_id")
+        assert {r["event_id"]: r["level"] for r in relations.derivation_levels(events, edges).collect()} == {x: level[x] for x in known}
+        if pairs:
+            with pytest.raises(ValueError, match="cycle"):
+                relations.derivation_levels(events, edges.union(as_edges(spark, [("e15", "e14"), ("e14", "e15")])))
